@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.llm import bpe, leaks, toxicity
 from memlake.llm.components import merge_groups
 from memlake.llm.ngrams import ngram_counts, term_records, with_mark
 from memlake.llm.runs import collapse_runs
@@ -47,6 +48,46 @@ def p7_values(spark: SparkSession, folder: str) -> DataFrame:
     return with_mark(counts, records)
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(load(spark, folder, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's ids decoded again: whether the text comes back, byte for byte."""
+    documents = load(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("before"))
+    ids = bpe.encode(documents.withColumnRenamed("before", "text"))
+    back = bpe.decode(ids).select("doc_id", F.xxhash64("text").alias("after"))
+    return documents.join(back, "doc_id").select("doc_id", (F.xxhash64("before") == F.col("after")).alias("same"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leaks.find_leaks(load(spark, folder, "documents"), load(spark, folder, "eval_items"))
+    return found.select("doc_id", "item_id")
+
+
+def p9_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Which test items leaked, into how many documents."""
+    found = leaks.find_leaks(load(spark, folder, "documents"), load(spark, folder, "eval_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("words").alias("longest"))
+
+
+def p9_scrubbed(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.scrub(load(spark, folder, "documents"), load(spark, folder, "eval_items"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score_documents(load(spark, folder, "documents"))
+    return scored.where("score >= 0.5").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(load(spark, folder, "documents"))
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.rates(toxicity.score_documents(load(spark, folder, "documents")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
@@ -55,6 +96,14 @@ QUERIES = {
     "p7_terms": p7_terms,
     "p7_ngrams": p7_ngrams,
     "p7_values": p7_values,
+    "p8_ids": p8_ids,
+    "p8_roundtrip": p8_roundtrip,
+    "p9_found": p9_found,
+    "p9_leaked_items": p9_leaked_items,
+    "p9_scrubbed": p9_scrubbed,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 _ONCE = "o AS (SELECT * FROM observations QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY received_at) = 1)"
