@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, leaks, toxicity
+from memlake.llm import ann, bpe, leaks, toxicity
 from memlake.llm.components import merge_groups
 from memlake.llm.ngrams import ngram_counts, term_records, with_mark
 from memlake.llm.runs import collapse_runs
@@ -21,6 +21,17 @@ def p1_runs(spark: SparkSession, folder: str) -> DataFrame:
     return collapse_runs(load(spark, folder, "observations"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.similar_pairs(load(spark, folder, "signatures"))
+
+
+def p2_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest of every signature whose id hash is divisible by 20, asked against all rows."""
+    found = ann.nearest(load(spark, folder, "signatures"))
+    asked = F.pmod(F.conv(F.substring("sig_id", 5, 8), 16, 10).cast("bigint"), F.lit(20)) == 0
+    return found.where(asked)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return merge_groups(load(spark, folder, "entities"))
 
@@ -91,6 +102,8 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
+    "p2_found": p2_found,
+    "p2_nearest": p2_nearest,
     "p4_found": p4_found,
     "p7_found": p7_found,
     "p7_terms": p7_terms,
