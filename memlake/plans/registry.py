@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memlake.plans import training
+from memlake.plans import memory_queries, question_queries, training
 
-_MODULES = (training,)
+_MODULES = (training, question_queries, memory_queries)
 
 
 def queries() -> dict:
