@@ -110,14 +110,11 @@ class ItemAutomaton:
                     p = self.link[p]
             if len(item) < self.least:
                 whole[s].append((len(item), item_id))
-        # by state, for a match of at least ``least`` words: the items that hold its last ``least`` words
-        self.leaked: list[tuple[int, ...]] = [()] * n
+        self.holders = holders
+        # short items that end at a state or at one of its suffixes
         self.short: list[tuple[tuple[int, int], ...]] = [()] * n
         for s in sorted(range(1, n), key=self.length.__getitem__):
-            up = self.link[s]
-            if self.length[s] >= self.least:
-                self.leaked[s] = self.leaked[up] if self.length[up] >= self.least else tuple(holders[s])
-            self.short[s] = tuple(whole[s]) + self.short[up]
+            self.short[s] = tuple(whole[s]) + self.short[self.link[s]]
 
     def matches(self, document: list[str]) -> Iterator[tuple[int, int, int]]:
         """(end, length, state) wherever a passage of an item ends, with the longest such passage."""
@@ -137,14 +134,17 @@ class ItemAutomaton:
                 yield end, length, s
 
     def found(self, document: list[str]) -> dict[int, int]:
-        """item -> words of the longest passage seen while it leaked (for a short item, its words)."""
+        """item -> words of its longest passage in the document (of a short item, all its words)."""
         out: dict[int, int] = {}
-        for _, length, s in self.matches(document):
-            if length >= self.least:
-                for item in self.leaked[s]:
+        for _, seen, s in self.matches(document):
+            p, length = s, seen
+            while length >= self.least:  # shorter passages that end here may be in more items
+                for item in self.holders[p]:
                     out[item] = max(out.get(item, 0), length)
+                p = self.link[p]
+                length = self.length[p]
             for n, item in self.short[s]:
-                if n <= length:
+                if n <= seen:
                     out[item] = max(out.get(item, 0), n)
         return out
 
