@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.leaks import _ABSENT
+from memlake.operators.spread import spread
 from memlake.scratch import materialize
 
 #: Segments kept a vote pattern to train the classifier on (those of least hash).
@@ -345,7 +346,7 @@ def fit(documents: DataFrame) -> tuple[LabelModel, Classifier]:
     ``SAMPLE_A_PATTERN`` different segments a pattern, however large the corpus.
     """
     texts = documents.select("text").where(F.col("text").isNotNull())
-    found = materialize(texts.mapInArrow(_survey, "pattern string, n bigint, h bigint, segment string"), "votes")
+    found = materialize(spread(texts).mapInArrow(_survey, "pattern string, n bigint, h bigint, segment string"), "votes")
     counts = found.where("n IS NOT NULL").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     model = LabelModel({r["pattern"]: r["n"] for r in counts})
     w = Window.partitionBy("pattern").orderBy("h", "segment")
@@ -395,7 +396,7 @@ def score_documents(documents: DataFrame, classifier: Classifier | None = None)
                 ["doc_id", "source", "score", "worst"],
             )
 
-    return documents.select("doc_id", "source", "text").mapInArrow(
+    return spread(documents.select("doc_id", "source", "text")).mapInArrow(
         run, "doc_id bigint, source string, score double, worst string"
     )
 
