@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.operators.spread import spread
+
 #: Pretokens up to this length are remembered, at most so many of them a worker.
 CACHE_CHARS, CACHE_SIZE = 48, 400_000
 
@@ -220,9 +222,8 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id bigint, ids array<int>"
-    )
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
+    return spread(texts).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

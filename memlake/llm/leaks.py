@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.operators.spread import spread
+
 #: Words of a passage that count as a leak.
 MIN_WORDS = 12
 #: Items go into automata of at most so many words; more items make more blocks, each streamed over the documents.
@@ -207,6 +209,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS) -
         return run
 
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = spread(texts)
     parts = [texts.mapInArrow(scan(block), "doc_id bigint, item_id bigint, words int") for block in item_blocks(items)]
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
