@@ -129,6 +129,30 @@ def relations(observations: DataFrame, entities: DataFrame, min_count: int = MIN
     )
 
 
+def evidence_rows(observations: DataFrame, edges: DataFrame) -> DataFrame:
+    """(edge key, observation_id): the evidence of habits and relations as rows, for edges with more of it than an array should hold.
+
+    ``edges`` needs the key columns only; nothing is gathered, however hot a subject is.
+    """
+    hour, weekday = hour_bucket(F.col("ts")), local_weekday(F.col("ts"))
+    zoned = observations.where("predicate = 'present' AND location_id IS NOT NULL AND subject_entity_id IS NOT NULL")
+    names = F.array(
+        F.struct(F.lit("habit").alias("kind"), F.concat(F.lit("present_around_"), hour).alias("predicate")),
+        F.struct(F.lit("habit").alias("kind"), F.concat(F.lit("present_"), weekday, F.lit("_around_"), hour).alias("predicate")),
+        F.struct(F.lit("relation").alias("kind"), F.lit("frequents").alias("predicate")),
+    )
+    here = zoned.select("observation_id", "subject_entity_id", "location_id", F.explode(names).alias("p")).select(
+        "p.*", "subject_entity_id", F.lit(None).cast("string").alias("object_entity_id"), "location_id", "observation_id"
+    )
+    near = observations.where("predicate = 'near' AND object_entity_id IS NOT NULL AND subject_entity_id IS NOT NULL").select(
+        F.lit("relation").alias("kind"), F.explode(F.array(F.lit("uses"), F.lit("accompanied_by"))).alias("predicate"),
+        "subject_entity_id", "object_entity_id", F.lit(None).cast("string").alias("location_id"), "observation_id",
+    )
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in KEY]
+    rows = here.unionByName(near).alias("r")
+    return rows.join(edges.select(*KEY).distinct().alias("e"), same, "left_semi")
+
+
 def changes(snapshots: DataFrame, tail: int = GONE_TAIL) -> DataFrame:
     """(location_id, entity_id, kind, ts, evidence): who appeared in a zone after its first snapshot, and who is gone.
 

@@ -88,6 +88,15 @@ def decay_weights(spark, folder):
     )
 
 
+@query("evidence_rows", with_(O, E, HABITS, RELATIONS, _CANDIDATES) + "SELECT kind, predicate, subject_entity_id, object_entity_id, location_id, unnest(evidence) AS observation_id FROM cand")
+def evidence_rows(spark, folder):
+    """What the edges rest on, one row each."""
+    mem = Memory(spark, folder)
+    rows = mem.scan()
+    edges = mining.habits(rows).unionByName(mining.relations(rows, mem.entities))
+    return mining.evidence_rows(rows, edges)
+
+
 @query("distil_pass")
 def distil_pass(spark, folder):
     """A whole pass over the memory: habits, relations and change events of the window."""
