@@ -311,3 +311,27 @@ def evidence_near(observations: DataFrame, firsts: DataFrame, seconds: float = 1
     asks = firsts.select("entity_id", F.col("ts").alias("first_ts"), F.explode(F.sequence(F.floor(F.col("ts") / seconds) - 1, F.floor(F.col("ts") / seconds) + 1)).alias("slot"))
     near = asks.join(shots, "slot").where(F.abs(F.col("ts") - F.col("first_ts")) <= seconds)
     return near.groupBy("entity_id").agg(F.min_by("source_ref", F.struct("ts", "seq")).alias("source_ref"))
+
+
+def case_items(items: DataFrame, entities: DataFrame, observations: DataFrame) -> DataFrame:
+    """(kind, ref_id, label, ts): what each attached id names; one that was deleted since still shows."""
+    who = entities.select(
+        F.col("entity_id").alias("ref_id"),
+        F.coalesce(F.nullif("label", F.lit("")), F.concat(capitalised(F.col("type")), F.lit(" "), F.expr("right(entity_id, 6)"))).alias("_name"),
+        F.col("created_at").alias("_born"),
+    )
+    said = F.translate(F.when(F.col("origin") == "rule", rule_name(F.col("predicate"))).otherwise(F.col("predicate")), "_", " ")
+    what = observations.select(F.col("observation_id").alias("ref_id"), said.alias("_said"), F.col("ts").alias("_ts"))
+    out = items.join(who, "ref_id", "left").join(what, "ref_id", "left")
+    own = F.col("kind") == "entity"
+    return out.select(
+        "kind",
+        "ref_id",
+        F.coalesce(F.when(own, F.col("_name")), F.col("_said"), F.lit("(deleted)")).alias("label"),
+        F.coalesce(F.when(own, F.col("_born")), F.col("_ts")).alias("ts"),
+    )
+
+
+def relation_by_key(relations: DataFrame, **key: str | None) -> DataFrame:
+    """The edge with exactly this key; a part that is None matches a null."""
+    return relations.where(reduce(and_, (F.col(k).eqNullSafe(F.lit(v)) for k, v in key.items()), F.lit(True)))

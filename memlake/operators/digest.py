@@ -167,3 +167,19 @@ def histogram(rows: DataFrame, items: DataFrame, since: float, now: float, bins:
         F.coalesce("count", F.lit(0)).alias("count"),
         F.when(F.col("fired"), "f").when(F.col("any"), "u").otherwise("r").alias("type"),
     )
+
+
+def dismissed_fires(observations: DataFrame, rule: str, limit: int = 3) -> DataFrame:
+    """(observation_id, entity_id, ts, source_ref): the newest fires of a rule that an operator dismissed.
+
+    They are counter-examples for the rule's check, oldest first.
+    """
+    said = observations.where(F.col("predicate").startswith("digest:dismissed:rule:"))
+    parts = F.split(F.substring("predicate", len("digest:dismissed:") + 1, 1000), ":")
+    marks = said.where(F.size(parts) == 4).select(parts[1].alias("rule"), parts[2].alias("entity_id"), parts[3].alias("at")).distinct()
+    fired = observations.where((F.col("origin") == "rule") & (F.col("predicate") == f"rule_fired:{rule}") & F.col("source_ref").isNotNull())
+    fired = fired.select(
+        "observation_id", F.col("subject_entity_id").alias("entity_id"), "ts", "source_ref", F.col("ts").cast("bigint").cast("string").alias("at")
+    )
+    linked = fired.join(marks.where(F.col("rule") == rule).select("entity_id", "at"), ["entity_id", "at"], "left_semi").drop("at")
+    return linked.orderBy(F.desc("ts"), "observation_id").limit(limit).orderBy("ts", "observation_id")

@@ -11,6 +11,7 @@ from memlake.plans.filters import Filters
 from memlake.plans.sql import E, END, HABITS, O, RELATIONS, SNAPSHOTS, START, T0, window, with_
 from memlake.sources.files import split_classes
 from memlake.sources.memory import Memory
+from memlake.sources.tables import load
 
 from memlake.streaming import pipeline
 
@@ -702,3 +703,102 @@ def relation_scan(spark, folder):
 def single_subject_aggregate(spark, folder):
     rows = Memory(spark, folder).scan(Filters(subject="scene:loc_1a15dbff0ebd"))
     return rows.groupBy("subject_entity_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+
+
+# --- lookups and small operators ---------------------------------------------------
+
+
+@query("point_lookup", with_(O) + "SELECT observation_id, seq, predicate FROM o WHERE observation_id IN (SELECT min(observation_id) FROM observations UNION ALL SELECT max(observation_id) FROM observations)")
+def point_lookup(spark, folder):
+    mem = Memory(spark, folder)
+    ends = mem.observations.agg(F.min("observation_id"), F.max("observation_id")).first()
+    return mem.scan(Filters(observation_ids=list(ends))).select("observation_id", "seq", "predicate")
+
+
+@query("scene_subjects", "SELECT DISTINCT subject_entity_id FROM observations WHERE subject_entity_id LIKE 'scene:%'")
+def scene_subjects(spark, folder):
+    rows = Memory(spark, folder).observations
+    return rows.where(F.col("subject_entity_id").startswith("scene:")).select("subject_entity_id").distinct()
+
+
+@query("signatures_active", with_(E) + "SELECT DISTINCT sig_id, s.entity_id, kind FROM signatures s JOIN e USING (entity_id) WHERE lower(trim(e.status)) = 'active'")
+def signatures_active(spark, folder):
+    return Memory(spark, folder).signatures().select("sig_id", "entity_id", "kind")
+
+
+@query("retained_keyframes", with_(O) + ", k AS (SELECT DISTINCT string_split(source_ref, '/')[-1] AS f FROM o WHERE seq % 3 = 0 AND source_ref IS NOT NULL) SELECT observation_id, source_ref FROM o WHERE string_split(source_ref, '/')[-1] IN (SELECT f FROM k)")
+def retained_keyframes(spark, folder):
+    rows = Memory(spark, folder).scan()
+    kept = rows.where("seq % 3 = 0 AND source_ref IS NOT NULL").select(F.col("source_ref").alias("path"))
+    return reports.retained(rows, kept).select("observation_id", "source_ref")
+
+
+@query("expired_frames", with_(O) + f"SELECT DISTINCT source_ref AS path FROM o WHERE source_ref IS NOT NULL AND ts < {END - 7 * 86400}")
+def expired_frames(spark, folder):
+    rows = Memory(spark, folder).scan().where("source_ref IS NOT NULL")
+    return reports.expired_frames(rows.select(F.col("source_ref").alias("path"), F.col("ts").alias("modified")), END).distinct()
+
+
+@query("thread_titles", "SELECT doc_id, CASE WHEN length(t) <= 58 THEN t ELSE (CASE WHEN contains(left(t, 58), ' ') THEN regexp_replace(left(t, 58), '\\s\\S*$', '') ELSE left(t, 58) END) || '…' END AS title FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)")
+def thread_titles(spark, folder):
+    from memlake.functions.columns import title_from_question
+
+    return load(spark, folder, "documents").select("doc_id", title_from_question(F.col("text")).alias("title"))
+
+
+@query(
+    "case_items",
+    with_(O, E) + """, it AS (SELECT 'entity' AS kind, entity_id AS ref_id FROM e UNION ALL SELECT 'alert', observation_id FROM o WHERE origin = 'rule' UNION ALL SELECT 'event', 'obs_gone')
+SELECT kind, ref_id, coalesce(CASE WHEN kind = 'entity' THEN coalesce(nullif(e.label, ''), upper(e.type[1]) || lower(e.type[2:]) || ' ' || right(e.entity_id, 6)) END,
+  replace(CASE WHEN origin = 'rule' AND predicate LIKE 'rule\\_fired:%' ESCAPE '\\' THEN predicate[12:] ELSE predicate END, '_', ' '), '(deleted)') AS label,
+  coalesce(CASE WHEN kind = 'entity' THEN e.created_at END, o.ts) AS ts FROM it LEFT JOIN e ON e.entity_id = it.ref_id LEFT JOIN o ON o.observation_id = it.ref_id""",
+)
+def case_items(spark, folder):
+    mem = Memory(spark, folder)
+    items = mem.entities.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("ref_id")).unionByName(
+        mem.scan(Filters(origins=["rule"])).select(F.lit("alert").alias("kind"), F.col("observation_id").alias("ref_id"))
+    )
+    return analytics.case_items(items.unionByName(spark.createDataFrame([("event", "obs_gone")], "kind string, ref_id string")), mem.entities, mem.scan())
+
+
+@query("dismissed_fires", with_(O) + "SELECT observation_id, subject_entity_id AS entity_id, ts FROM o WHERE origin = 'rule' AND predicate = 'rule_fired:linger_at_ramp' AND source_ref IS NOT NULL AND seq % 5 = 0 ORDER BY ts DESC, observation_id LIMIT 3")
+def dismissed_fires(spark, folder):
+    """Every fifth fire counts as dismissed here."""
+    rows = Memory(spark, folder).scan(Filters(origins=["rule"]))
+    no = rows.where("seq % 5 = 0 AND predicate = 'rule_fired:linger_at_ramp'").withColumn(
+        "predicate", F.concat(F.lit("digest:dismissed:rule:linger_at_ramp:"), "subject_entity_id", F.lit(":"), F.col("ts").cast("bigint").cast("string"))
+    )
+    no = no.withColumn("origin", F.lit("operator"))
+    return digest.dismissed_fires(rows.unionByName(no), "linger_at_ramp").select("observation_id", "entity_id", "ts")
+
+
+@query("relation_by_key", with_(O, E, HABITS, RELATIONS, _CANDIDATES) + "SELECT kind, subject_entity_id, predicate, location_id FROM cand WHERE kind = 'relation' AND subject_entity_id = 'scene:loc_1a15dbff0ebd' AND predicate = 'frequents' AND object_entity_id IS NULL AND location_id = 'loc_1a15dbff0ebd'")
+def relation_by_key(spark, folder):
+    found = analytics.relation_by_key(
+        _mined(Memory(spark, folder)), kind="relation", subject_entity_id="scene:loc_1a15dbff0ebd", predicate="frequents", object_entity_id=None, location_id="loc_1a15dbff0ebd"
+    )
+    return found.select("kind", "subject_entity_id", "predicate", "location_id")
+
+
+@query("coalesced_edges")
+def coalesced_edges(spark, folder):
+    """The mined edges after all merges that the statuses tell, alike ones joined."""
+    mem = Memory(spark, folder)
+    moved = corrections.repoint(_mined(mem), ["subject_entity_id", "object_entity_id"], _moves(mem))
+    return corrections.coalesce_edges(moved).drop("supporting_observation_ids")
+
+
+@query("match_or_mint")
+def match_or_mint(spark, folder):
+    """Two hundred vectors of the embedding table as one batch of faces, the first of each label as the gallery."""
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    first = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vec"), F.min("vec_id").alias("created_at"))
+    gallery = first.select(F.col("label").cast("string").alias("entity_id"), F.col("created_at").cast("string").alias("sig_id"), "vec", F.col("created_at").cast("double").alias("created_at"))
+    faces = rows.orderBy("vec_id").limit(200)
+    return identity.match_or_mint(faces.select(F.col("vec_id").cast("string").alias("face_id"), F.col("vec_id").cast("double").alias("ts"), F.col("embedding").alias("vec")), gallery, 0.3)
+
+
+@query("bound_tracks")
+def bound_tracks(spark, folder):
+    rows = _boxes(spark, folder).withColumn("track_id", (F.col("frame_index") % 40).cast("bigint"))
+    return pipeline.bind_tracks(rows.withColumn("appearance", F.array((F.col("frame_index") % 5).cast("double"), F.lit(1.0))))
