@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.columns import dot, unit
+from memlake.scratch import materialize
 
 MATCH_AT, NOVELTY_MIN, SIGNATURES_AT_MOST = 0.45, 0.10, 12
 #: A gallery block that travels to the tasks holds at most so many vectors.
@@ -28,6 +29,7 @@ def best_matches(probes: DataFrame, gallery: DataFrame) -> DataFrame:
     The gallery is cut into blocks of bounded size by hash; every probe meets every
     block in one matrix product, and the best of the blocks' bests wins.
     """
+    gallery = materialize(gallery.select("entity_id", "sig_id", "vec"), "gallery")
     n = gallery.count()
     blocks = max(1, -(-n // BLOCK))
     shown = gallery.select(
@@ -102,6 +104,7 @@ def similar_entities(signatures: DataFrame, threshold: float) -> DataFrame:
     All pairs of the given signatures are looked at, in blocks: for the curated gallery
     of active persons, not for the whole table (see the nearest-vector operator for that).
     """
+    signatures = materialize(signatures.select("entity_id", "sig_id", "vec"), "gallery")  # read three times below
     n = signatures.count()
     parts = max(1, -(-n // 4000))
     rows = signatures.select("entity_id", "vec", F.pmod(F.xxhash64("sig_id"), F.lit(parts)).cast("int").alias("p"))
