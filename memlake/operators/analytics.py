@@ -44,7 +44,8 @@ def kpis(entities: DataFrame, observations: DataFrame) -> DataFrame:
         F.count_if(active & (F.col("type") == "person")).alias("total_persons"),
         F.count_if(active & (F.col("type") == "object")).alias("total_objects"),
     )
-    return people.crossJoin(observations.agg(F.count(F.lit(1)).alias("total_observations")))
+    total = observations.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return people.withColumn("total_observations", total)
 
 
 def per_camera(observations: DataFrame) -> DataFrame:
@@ -290,14 +291,33 @@ def inspect(entities: DataFrame, observations: DataFrame, signatures: DataFrame)
 def inventory_asof(snapshots: DataFrame, probes: DataFrame) -> DataFrame:
     """(probe_id, location_id, ts, present_entity_ids): the last inventory of the zone at or before each probe.
 
-    One sort by (zone, time) over both tables carries the last inventory forward; a
-    probe before the first snapshot has an empty one.
+    Within each (zone, day) one sort over both tables carries the last inventory forward,
+    so a busy zone is spread over its days; a day opens with the last inventory of the
+    days before, found on the snapshots alone.  A probe before the first is empty.
     """
-    shots = snapshots.select("location_id", "ts", F.lit(0).alias("o"), F.lit(None).cast("string").alias("probe_id"), "present_entity_ids")
-    asks = probes.select("location_id", "ts", F.lit(1).alias("o"), "probe_id", F.lit(None).cast("array<string>").alias("present_entity_ids"))
-    w = Window.partitionBy("location_id").orderBy("ts", "o").rowsBetween(Window.unboundedPreceding, 0)
-    filled = shots.unionByName(asks).withColumn("present", F.last("present_entity_ids", ignorenulls=True).over(w))
-    return filled.where("o = 1").select(
+    day = F.floor(F.col("ts") / 86400)
+    shots = snapshots.select("location_id", "ts", day.alias("day"), F.col("present_entity_ids").alias("present"))
+    asked = probes.select("location_id", "ts", day.alias("day"), "probe_id")
+    closing = shots.groupBy("location_id", "day").agg(F.max_by("present", "ts").alias("present"))
+    w = Window.partitionBy("location_id").orderBy("day")
+    until = F.coalesce(F.lead("day").over(w), asked.agg(F.max("day")).scalar(), F.col("day"))
+    opening = (
+        closing.withColumn("_until", until)
+        .where(F.col("_until") > F.col("day"))
+        .select("location_id", F.explode(F.sequence(F.col("day") + 1, F.col("_until"))).alias("day"), "present")
+        .withColumn("ts", F.col("day") * 86400.0)
+    )
+    none = F.lit(None).cast("string").alias("probe_id")
+    rows = (
+        opening.select("location_id", "day", "ts", F.lit(0).alias("o"), none, "present")
+        .unionByName(shots.select("location_id", "day", "ts", F.lit(1).alias("o"), none, "present"))
+        .unionByName(
+            asked.select("location_id", "day", "ts", F.lit(2).alias("o"), "probe_id", F.lit(None).cast("array<string>").alias("present"))
+        )
+    )
+    within = Window.partitionBy("location_id", "day").orderBy("ts", "o").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("present", F.last("present", ignorenulls=True).over(within))
+    return filled.where("o = 2").select(
         "probe_id", "location_id", "ts", F.coalesce("present", F.array().cast("array<string>")).alias("present_entity_ids")
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.columns import capitalised, keyframe_url, local_hour, rule_name
@@ -90,10 +90,10 @@ def unusual_hours(rows: DataFrame, relations: DataFrame) -> DataFrame:
 
     Habits cover an hour to either side, over midnight too; without habits nothing is unusual.
     """
-    w = Window.partitionBy("subject_entity_id", "location_id", "h").orderBy("ts", "seq")
     seen = rows.where("predicate = 'present' AND location_id IS NOT NULL").withColumn("h", local_hour(F.col("ts")))
-    # the first row of each hour serves, so rows shrink before the join
-    seen = seen.withColumn("k", F.row_number().over(w)).where("k = 1")
+    # the first row of each hour serves, so rows shrink on the map side, before the join
+    first = F.min_by(F.struct("ts", "source_ref"), F.struct("ts", "seq"))
+    seen = seen.groupBy("subject_entity_id", "location_id", "h").agg(first.alias("f")).select("*", "f.*").drop("f")
     covered = F.exists("hours", lambda x: (F.abs(F.col("h") - x) <= 1) | (F.abs(F.col("h") - x) >= 23))
     return seen.join(habit_hours(relations), ["subject_entity_id", "location_id"]).where(~covered)
 

@@ -73,9 +73,8 @@ def build_postings(docs: DataFrame, key: str, text: str = "text", stemmed: bool
 
 def corpus_stats(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """One row (n_docs, n_tokens): documents count whether or not they have text."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(
-        postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
-    )
+    tokens_ = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).scalar()
+    return docs.agg(F.count(F.lit(1)).alias("n_docs")).withColumn("n_tokens", tokens_)
 
 
 def bm25(postings: DataFrame, stats: DataFrame, query: str, stemmed: bool = True) -> DataFrame:

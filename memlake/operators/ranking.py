@@ -64,9 +64,15 @@ def collapse_hits(hits: DataFrame, window: float = 120.0) -> DataFrame:
 
 def pick_spread(frames: DataFrame, key: str, value: str, k: int) -> DataFrame:
     """(key, picked): ``k`` values spread over the order of ``ts``, both ends kept; fewer if there are no more."""
-    w = Window.partitionBy(key).orderBy("ts", value)
-    size = frames.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    placed = frames.withColumn("_i", F.row_number().over(w) - 1).join(size, key)
+    # places are counted by day, so that a hot key's frames aren't sorted in one task
+    frames = frames.withColumn("_day", F.floor(F.col("ts") / 86400))
+    days = frames.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    days = days.withColumn("_n", F.sum("_c").over(Window.partitionBy(key)))
+    w = Window.partitionBy(key, "_day").orderBy("ts", value)
+    placed = frames.withColumn("_r", F.row_number().over(w)).join(days, [key, "_day"])
+    placed = placed.withColumn("_i", F.col("_before") + F.col("_r") - 1)
     if k == 1:
         wanted = F.col("_i") == 0
     else:

@@ -296,11 +296,12 @@ def relation_answer(mem: Memory, plan: QueryPlan, relations: DataFrame) -> tuple
     evidence = edge_evidence(mem, plan, relations)
     by = ["relation_id", "kind", "subject_entity_id", "predicate", "weight", "status", "edge_location", "far_id"]
     w = Window.partitionBy("relation_id").orderBy("observation_id")
-    shown = F.collect_list(F.when(F.col("k") <= EDGE_IDS_SHOWN, F.col("observation_id")))
+    top = evidence.select("relation_id", "observation_id").withColumn("k", F.row_number().over(w)).where(F.col("k") <= EDGE_IDS_SHOWN)
+    shown = top.groupBy("relation_id").agg(F.array_sort(F.collect_list("observation_id")).alias("observation_ids"))
     edges = (
-        evidence.withColumn("k", F.row_number().over(w))
-        .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("n_supporting"), F.array_sort(shown).alias("observation_ids"))
+        evidence.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("n_supporting"))
+        .join(shown, "relation_id")
         .withColumn("weight", F.bround("weight", 3))
     )
     ends = mem.labelled(edges.select(F.col("far_id").alias("entity_id")).distinct())
