@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import math
 import re
+import re._parser as sre_parse
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from heapq import heappush, heappushpop
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -113,7 +115,7 @@ _LEET = str.maketrans("013457@$!€+", "oieastasiet")
 _LEET_L = str.maketrans("013457@$!€+", "oleastaslet")
 _DOTTED = regex.compile(r"(?<![\w.])\.?((?:\p{L}\p{M}?[.\-_*·•]){2,}\p{L}\p{M}?|\p{L}\.\p{L})\.?(?![\w])")
 _SPACED = regex.compile(r"(?<!\w)((?:\p{L}\p{M}? ){3,}\p{L}\p{M}?)(?!\w)")
-_TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@$!€+*'’]+(?:-[\p{L}\p{M}]+)*")
+_TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@$!€+*'’]+(?:-[\p{L}\p{M}]+)*,?")
 _STRETCH = regex.compile(r"(\p{L})\1{2,}")
 _CUT = regex.compile(r"(?<=[.!?;。！？])[\"'”»’)]*\s+|[\n\r\x85 ]+|\s\|\s")
 _LATIN, _OTHER = regex.compile(r"[a-zA-Z]"), regex.compile(r"[\p{Cyrillic}\p{Greek}]")
@@ -134,7 +136,12 @@ def _bare(word: str) -> str:
 
 @lru_cache(maxsize=200_000)
 def _word(token: str) -> tuple[str, bool]:
-    """A token in plain letters, and whether it was veiled and is a listed word."""
+    """A token in plain letters, with the comma after it, and whether it was veiled and is a listed word."""
+    word, veiled = _plain_word(token.removesuffix(","))
+    return (word + "," if word and token[-1] == "," else word), veiled
+
+
+def _plain_word(token: str) -> tuple[str, bool]:
     word = token
     if _LATIN.search(word) and _OTHER.search(word):
         word = word.translate(_LOOKALIKE)
@@ -185,13 +192,11 @@ def plain(text: str) -> list[tuple[str, bool]]:
     for segment in _CUT.split(text):
         veiled = "\x02" in segment
         words = []
-        for m in _TOKEN.finditer(segment.replace("\x02", "")):
-            w, hidden = _word(m.group())
+        for token in _TOKEN.findall(segment.replace("\x02", "") if veiled else segment):
+            w, hidden = _word(token)
             veiled |= hidden
             if w:
                 words.append(w)
-                if segment[m.end() : m.end() + 1] == ",":
-                    words[-1] += ","
         if words:
             out.append((" ".join(words), veiled))
     return out
@@ -206,22 +211,72 @@ _PERSON_NEAR = re.compile(rf"\b{_PERSON}\b")
 _UNSPACED = tuple(w for w in FOREIGN if not w.isascii() and len(w) <= 2 or regex.search(r"[\p{Han}\p{Katakana}\p{Hiragana}]", w))
 
 
+def required(pattern: re.Pattern) -> frozenset[str]:
+    """Literals of which every match of the pattern holds at least one."""
+
+    def of(parts) -> set[str] | None:
+        """The best set for a sequence: the one whose shortest literal is longest; None if nothing is sure."""
+        found, run = [], ""
+        for op, arg in [*parts, (None, None)]:
+            if op is sre_parse.LITERAL:
+                run += chr(arg)
+                continue
+            if run:
+                found.append({run})
+                run = ""
+            inner = None
+            if op is sre_parse.SUBPATTERN:
+                inner = of(arg[-1])
+            elif op is sre_parse.BRANCH:
+                each = [of(x) for x in arg[1]]
+                inner = set().union(*each) if all(each) else None
+            elif op is sre_parse.MAX_REPEAT and arg[0] > 0:
+                inner = of(arg[2])
+            if inner:
+                found.append(inner)
+        return max(found, key=lambda x: min(map(len, x)), default=None)
+
+    return frozenset(of(list(sre_parse.parse(pattern.pattern))) or {""})
+
+
+def _watch(patterns: list[re.Pattern]) -> ahocorasick.Automaton:
+    """Finds in one pass which patterns can match a segment at all: literal -> bit mask."""
+    masks: Counter[str] = Counter()
+    for i, p in enumerate(patterns):
+        for literal in required(p):
+            masks[literal] |= 1 << i
+    a = ahocorasick.Automaton()
+    for literal, mask in masks.items():
+        a.add_word(literal, mask)
+    a.make_automaton()
+    return a
+
+
+_PATTERNS = [_BENIGN, _REPORT, _SEX, _THREAT, _HATE, _DEGRADE]
+_WATCHED = _watch(_PATTERNS)
+
+
 def votes(segment: str, veiled: bool) -> str:
     """One letter a voter: + harmful, - harmless, 0 abstains."""
-    benign = bool(_BENIGN.search(segment))
-    text = _BENIGN.sub(" ", segment) if benign else segment
+    can = 0
+    for _, mask in _WATCHED.iter(segment):
+        can |= mask
+    benign = bool(can & 1 and _BENIGN.search(segment))
+    text = segment
+    if benign:  # what is left may read differently
+        text, can = _BENIGN.sub(" ", segment), -1
     words = set(_words(text))
     said = words & _INSULT_SET
     mild = words & MILD and _PERSON_NEAR.search(text)
-    report = benign or bool(_REPORT.search(segment))
+    report = benign or bool(can & 2 and _REPORT.search(segment))
     found = [
         bool(said or mild),
         bool(words & _FOREIGN_SET) or any(w in text for w in _UNSPACED),
         bool(words & _SEXUAL_SET),
-        bool(_SEX.search(text)),
-        bool(_THREAT.search(text)),
-        bool(_HATE.search(text)),
-        bool(_DEGRADE.search(text)),
+        bool(can & 4 and _SEX.search(text)),
+        bool(can & 8 and _THREAT.search(text)),
+        bool(can & 16 and _HATE.search(text)),
+        bool(can & 32 and _DEGRADE.search(text)),
         veiled,
     ]
     return "".join("+" if x else "0" for x in found) + ("-" if report else "0") + ("0" if any(found) or said else "-")
