@@ -46,16 +46,16 @@ def rungs(mem: Memory, plan: QueryPlan, most: int = STEPS_AT_MOST) -> list[Rung]
     out = []
     wide = widen(plan)
     if wide is not None:
-        out.append(Rung("widen_window", f"time window (widened by {_amount(plan, wide)} either side)", wide))
+        out.append(Rung("widen_window", f"window: {_amount(plan, wide)} more at each end", wide))
     if plan.zones and mem.zone_ids(plan.zones):
-        out.append(Rung("drop_zone", f"zone filter ({', '.join(plan.zones)} -> anywhere)", plan.but(zones=())))
+        out.append(Rung("drop_zone", f"zones: any instead of {', '.join(plan.zones)}", plan.but(zones=())))
     if plan.entity_labels and not mem.subjects().where(_accepted(plan)).isEmpty():
         out.append(
-            Rung("drop_entity_label", f"subject filter ({', '.join(plan.entity_labels)} -> anyone)", plan.but(entity_labels=()))
+            Rung("drop_entity_label", f"subjects: any instead of {', '.join(plan.entity_labels)}", plan.but(entity_labels=()))
         )
     if plan.text and (plan.zones or plan.cameras or plan.entity_labels):
         bare = plan.but(zones=(), cameras=(), entity_labels=(), predicate_contains="")
-        out.append(Rung("text_only", "every place and person filter, ranking on meaning alone inside the window asked for", bare, True))
+        out.append(Rung("text_only", "zones, cameras and subjects: any, ranked by meaning only", bare, True))
     return out[: max(0, most)]
 
 
