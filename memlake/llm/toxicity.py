@@ -119,6 +119,7 @@ _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@$!€+*'’]+(?:-[\p{L}\p{M}]+)*,?")
 _STRETCH = regex.compile(r"(\p{L})\1{2,}")
 _CUT = regex.compile(r"(?<=[.!?;。！？])[\"'”»’)]*\s+|[\n\r\x85 ]+|\s\|\s")
 _LATIN, _OTHER = regex.compile(r"[a-zA-Z]"), regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+_DIGITS = re.compile(r"\d+")
 _ODD = regex.compile(r"[^\W_][@$!€+*0-9]|[@$!€+*0-9][^\W_]")
 
 _KNOWN = frozenset(INSULTS) | frozenset(FOREIGN) | frozenset(SEXUAL)
@@ -331,11 +332,21 @@ def _slot(name: str) -> int:
     return xxhash.xxh32_intdigest(name) % (FEATURES - 64)
 
 
+@lru_cache(maxsize=4096)
+def _vote_slots(vote: str) -> tuple[int, ...]:
+    return tuple(FEATURES - 64 + 3 * i + "0+-".index(c) for i, c in enumerate(vote))
+
+
+def _names(segment: str) -> set[str]:
+    """A segment's different words and word pairs; all numbers are one."""
+    words = _words(_DIGITS.sub("0", segment))
+    names = set(words)
+    names.update(map(" ".join, zip(words, words[1:])))
+    return names
+
+
 def _features(segment: str, vote: str) -> list[int]:
-    words = [re.sub(r"\d+", "0", w) for w in _words(segment)]
-    names = [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]
-    out = set(map(_slot, names))
-    return [FEATURES - 64 + 3 * i + "0+-".index(c) for i, c in enumerate(vote)] + sorted(out)
+    return [*_vote_slots(vote), *map(_slot, sorted(_names(segment)))]
 
 
 class Classifier:
@@ -363,8 +374,14 @@ class Classifier:
     def _plain(self) -> list[float]:
         return self.w.tolist()
 
+    @cached_property
+    def _weight(self):
+        """Weight of a name; remembered, as names repeat."""
+        plain_ = self._plain
+        return lru_cache(maxsize=500_000)(lambda name: plain_[_slot(name)])
+
     def score(self, segment: str, vote: str) -> float:
-        odds = sum(map(self._plain.__getitem__, _features(segment, vote)))
+        odds = sum(map(self._plain.__getitem__, _vote_slots(vote))) + sum(map(self._weight, _names(segment)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
