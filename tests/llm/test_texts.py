@@ -168,7 +168,10 @@ def test_scores_of_nothing(docs):
 
 
 def test_accuracy_on_hand_labels(spark):
-    """Held-out: labels are never used in fitting; some of them are wrong, so perfection isn't asked for."""
+    """Labels aren't used in fitting, but the word lists were written with labelled texts in view: no held-out measure.
+
+    Some labels are wrong, so perfection isn't asked for.
+    """
     from pathlib import Path
 
     folder = "/root/testdata/sf0.01"
