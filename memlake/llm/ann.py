@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.hnsw import Graph
@@ -37,6 +37,9 @@ MARGIN, SHARDS_AT_MOST = 0.6, 4
 LINKS, BEAM = 8, 20
 #: Vectors travel as 16-bit fixed point; this shifts a similarity by about 0.00001.
 GRAIN = 32767
+#: Exact search: a task holds at most so many vectors and so many asking ones, and multiplies them in tiles;
+#: a kind that one task could hold is still cut into BLOCKS, to use more cores.
+BLOCK_ROWS, ASKED_ROWS, TILE, BLOCKS = 200_000, 100_000, 2048, 16
 
 
 def usable(signatures: DataFrame) -> DataFrame:
@@ -202,17 +205,13 @@ def similar_nodes(signatures: DataFrame, vectors: DataFrame, floor: float) -> Da
     return found.groupBy("space", "a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def nearest(signatures: DataFrame, k: int = 10, floor: float = 0.8) -> DataFrame:
-    """(sig_id, neighbour, similarity, rank): for each signature up to ``k`` most similar of its kind, at least ``floor`` alike.
+def _members(vectors: DataFrame) -> DataFrame:
+    """(sig_id, space, vid): the one vector of each signature."""
+    return vectors.groupBy("sig_id").agg(F.min(F.struct("space", "vid")).alias("m")).select("sig_id", "m.*")
 
-    Ties go to the smaller id.  A signature delivered twice is one.  Copies of a vector
-    are neighbours of each other with similarity 1; a class of copies is never paired
-    out: of each class only the ``k + 1`` smallest ids can be anyone's neighbour.
-    Empty or unusable input gives no rows.
-    """
-    vectors = usable(signatures)
-    members = vectors.groupBy("sig_id").agg(F.min(F.struct("space", "vid")).alias("m")).select("sig_id", "m.*")
-    near = similar_nodes(signatures, vectors, floor).where(F.col("similarity") >= floor)
+
+def _ranked(near: DataFrame, members: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """Pairs of nodes as pairs of signatures, the copies of a vector among them, cut to the ``k`` best of each asking one."""
     best = Window.partitionBy("space", "a").orderBy(F.desc("similarity"), "b")
     near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     within = Window.partitionBy("space", "vid").orderBy("sig_id")
@@ -221,7 +220,7 @@ def nearest(signatures: DataFrame, k: int = 10, floor: float = 0.8) -> DataFrame
         "space", F.col("vid").alias("a"), F.col("vid").alias("b"), F.lit(1.0).cast("float").alias("similarity")
     )
     ends = targets.select("space", F.col("vid").alias("b"), F.col("sig_id").alias("neighbour"))
-    starts = members.select("space", F.col("vid").alias("a"), "sig_id")
+    starts = asking.select("space", F.col("vid").alias("a"), "sig_id")
     pairs = (
         near.unionByName(copies)
         .join(ends, ["space", "b"])
@@ -236,6 +235,108 @@ def nearest(signatures: DataFrame, k: int = 10, floor: float = 0.8) -> DataFrame
     )
 
 
+def nearest(signatures: DataFrame, k: int = 10, floor: float = -1.0) -> DataFrame:
+    """(sig_id, neighbour, similarity, rank): for each signature up to ``k`` most similar of its kind, at least ``floor`` alike.
+
+    Ties go to the smaller id.  A signature delivered twice is one.  Copies of a vector
+    are neighbours of each other with similarity 1; a class of copies is never paired
+    out: of each class only the ``k + 1`` smallest ids can be anyone's neighbour.
+    Empty or unusable input gives no rows.  Shards hold what is much alike: neighbours
+    that resemble a vector little are mostly missed (see ``nearest_of``).
+    """
+    vectors = usable(signatures)
+    members = _members(vectors)
+    near = similar_nodes(signatures, vectors, floor).where(F.col("similarity") >= floor)
+    return _ranked(near, members, members, k)
+
+
+def _best(k: int):
+    """The ``k`` best nodes of a block for each node that asks, by matrix products."""
+
+    def nodes(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        table = table.combine_chunks()
+        seen: set[bytes] = set()
+        rows = [i for i, v in enumerate(table["vid"].to_pylist()) if not (v in seen or seen.add(v))]
+        vid = table["vid"].combine_chunks().take(pa.array(rows, pa.int64()))
+        if not rows:
+            return vid, np.zeros((0, 1), np.float32)
+        unit = table["unit"].combine_chunks().take(pa.array(rows, pa.int64()))
+        return vid, np.frombuffer(b"".join(unit.to_pylist()), np.float32).reshape(len(rows), -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (ask_vid, asks), (vid, x) = nodes(left), nodes(right)
+        place = {v: i for i, v in enumerate(vid.to_pylist())}
+        own = np.array([place.get(v, -1) for v in ask_vid.to_pylist()], np.int64)
+        a, b, s = [], [], []
+        for i in range(0, len(asks) if len(x) else 0, TILE):
+            q, me = asks[i : i + TILE], own[i : i + TILE]
+            ids, sims = np.full((len(q), 0), -1, np.int64), np.zeros((len(q), 0), np.float32)
+            for j in range(0, len(x), TILE):
+                value = q @ x[j : j + TILE].T
+                r = np.flatnonzero((me >= j) & (me < j + TILE))
+                value[r, me[r] - j] = -2.0
+                n = min(k, value.shape[1])
+                top = np.argpartition(-value, n - 1, axis=1)[:, :n]
+                ids, sims = np.concatenate([ids, top + j], 1), np.concatenate([sims, np.take_along_axis(value, top, 1)], 1)
+                n = min(k, ids.shape[1])
+                keep = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+                ids, sims = np.take_along_axis(ids, keep, 1), np.take_along_axis(sims, keep, 1)
+            r, c = np.nonzero(sims > -1.5)
+            a.append(r + i), b.append(ids[r, c]), s.append(sims[r, c])
+        a, b, s = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((a, np.int64), (b, np.int64), (s, np.float32)))
+        space = left["space"][0].as_py() if len(left) else None
+        return pa.table(
+            {
+                "space": pa.array([space] * len(a), pa.string()),
+                "a": ask_vid.take(pa.array(a)),
+                "b": vid.take(pa.array(b)),
+                "similarity": pa.array(s.astype(np.float32)),
+            }
+        )
+
+    return run
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        spaces = b.column("space").to_pylist()
+        by: dict[str, list[int]] = {}
+        for i, space in enumerate(spaces):
+            by.setdefault(space, []).append(i)
+        for space, rows in by.items():
+            at = pa.array(rows)
+            x = _matrix(b.column("vec").take(at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([space] * len(rows), pa.string()), b.column("vid").take(at), pa.array([v.tobytes() for v in x], pa.binary())],
+                ["space", "vid", "unit"],
+            )
+
+
+def nearest_of(signatures: DataFrame, asked: Column, k: int = 10) -> DataFrame:
+    """``nearest`` of the signatures for which ``asked`` holds (of sig_id), among all rows of their kind, however little alike.
+
+    Exact: every asking vector meets every vector of its kind, in blocks.  Vectors
+    without close neighbours have theirs in all directions, where no shard leads.
+    The work is the product of both numbers, so it grows with the square of the table.
+    """
+    vectors = usable(signatures)
+    members = _members(vectors)
+    counts = vectors.groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("q")).collect()
+    plan = {r["space"]: (max(-(-r["n"] // BLOCK_ROWS), min(BLOCKS, -(-r["n"] // 2000))), max(1, -(-r["q"] // ASKED_ROWS))) for r in counts}
+    blocks, parts = F.lit(1), F.lit(1)
+    for space, (n, q) in plan.items():
+        blocks = F.when(F.col("space") == space, F.lit(n)).otherwise(blocks)
+        parts = F.when(F.col("space") == space, F.lit(q)).otherwise(parts)
+    units, form = (lambda rows: rows.select("space", "vid", "vec").mapInArrow(_units, "space string, vid binary, unit binary")), ["space", "vid", "unit"]
+    block, part = F.pmod(F.xxhash64("vid"), blocks).cast("int"), F.pmod(F.xxhash64(F.lit(5), "vid"), parts).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    asks = units(vectors.where(asked)).select(*form, part.alias("part"), every(blocks).alias("block"))
+    shown = units(vectors).select(*form, block.alias("block"), every(parts).alias("part"))
+    key = ["space", "block", "part"]
+    near = asks.groupBy(*key).cogroup(shown.groupBy(*key)).applyInArrow(_best(k), "space string, a binary, b binary, similarity float")
+    return _ranked(near, members, members.where(asked), k)
+
+
 def similar_pairs(signatures: DataFrame, k: int = 10, floor: float = 0.8) -> DataFrame:
     """(sig_id_a, sig_id_b): pairs of which at least one is among the other's ``k`` nearest, smaller id first."""
     return (

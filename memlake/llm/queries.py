@@ -26,10 +26,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    """The nearest of every signature whose id hash is divisible by 20, asked against all rows."""
-    found = ann.nearest(load(spark, folder, "signatures"))
+    """The nearest of every signature whose id hash is divisible by 20, asked against all rows, without a floor."""
     asked = F.pmod(F.conv(F.substring("sig_id", 5, 8), 16, 10).cast("bigint"), F.lit(20)) == 0
-    return found.where(asked)
+    return ann.nearest_of(load(spark, folder, "signatures"), asked)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

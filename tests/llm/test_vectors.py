@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from memlake.llm import ann
-from memlake.llm.ann import nearest, similar_pairs
+from memlake.llm.ann import nearest, nearest_of, similar_pairs
 from memlake.llm.hnsw import Graph
 
 SIG = "sig_id string, entity_id string, kind string, dim int, vec array<float>, created_at double"
@@ -87,3 +88,32 @@ def test_many_copies_stay_linear(spark):
     assert len(by) == 301 and all(len(v) == 3 for v in by.values())
     assert [n for _, n in sorted(by["s000"])] == ["s001", "s002", "s003"] and [n for _, n in sorted(by["s200"])] == ["s000", "s001", "s002"]
     assert [n for _, n in sorted(by["t"])] == ["s000", "s001", "s002"]
+
+
+def test_nearest_of_has_no_floor_and_is_exact(spark, monkeypatch, tmp_path):
+    from memlake.llm import queries
+
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(ann, "ASKED_ROWS", 25)
+    monkeypatch.setattr(ann, "TILE", 64)
+    x = np.random.default_rng(5).standard_normal((1000, 48)).astype(np.float32)
+    x[700] = x[0]
+    rows = [(f"sig_{i:08x}", "e", "face" if i % 10 else "body", 48, v.tolist(), 0.0) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, SIG).write.parquet(f"{tmp_path}/signatures.parquet")
+    got = {}
+    for r in queries.p2_nearest(spark, str(tmp_path)).collect():
+        got.setdefault(int(r.sig_id[4:], 16), {})[int(r.neighbour[4:], 16)] = r.similarity
+    assert sorted(got) == list(range(0, 1000, 20)) and got[0][700] == 1.0
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i, found in got.items():
+        sims = u @ u[i]
+        sims[i] = -2
+        sims[[j for j in range(1000) if (j % 10 == 0) != (i % 10 == 0)]] = -2
+        best = np.argsort(-sims)[:10]
+        assert set(found) == set(best.tolist()) and np.allclose([found[j] for j in best.tolist()], sims[best], atol=1e-5)
+
+
+def test_nearest_of_asks_whom_it_is_told(spark):
+    rows = [(f"s{i}", "a", "face", 2, [1.0, float(i)], 0.0) for i in range(4)]
+    got = nearest_of(spark.createDataFrame(rows, SIG), F.col("sig_id") == "s0", k=2).orderBy("rank").collect()
+    assert [(r.sig_id, r.neighbour, r["rank"]) for r in got] == [("s0", "s1", 1), ("s0", "s2", 2)]
