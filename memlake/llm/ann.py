@@ -6,8 +6,8 @@
    margin of it (``SHARDS_AT_MOST`` at most).  Pivots are a bounded sample of the
    vectors, about the square root of their number, so that shards grow slowly.  A shard
    that the sample shows to be too large is split; each part is then asked by all.
-3. Each shard builds one graph (``memlake.llm.hnsw``); a node's search on insertion and
-   those of later nodes give its neighbours.
+3. Each shard builds one graph (``memlake.llm.hnsw``) and is then asked for every node,
+   the indexed ones too; what insertion saw is added, and the k best of a node kept.
 4. The directed results of all shards are merged, ranked and cut to the k best.
 
 Every usable vector is indexed and asked.  The margin, the beam and the number of
@@ -35,6 +35,8 @@ ONE_SHARD, SHARD_ROWS = 3000, 30_000
 #: A vector also joins shards whose pivot is nearly as similar as its best: within MARGIN / sqrt(dimension).
 MARGIN, SHARDS_AT_MOST = 0.6, 4
 LINKS, BEAM = 8, 20
+#: Beams with which the finished graph is asked: the next is for nodes whose wanted ones fill half of the one before.
+ASK = (32, 64, 256)
 #: Vectors travel as 16-bit fixed point; this shifts a similarity by about 0.00001.
 GRAIN = 32767
 #: Exact search: a task holds at most so many vectors and so many asking ones, and multiplies them in tiles;
@@ -157,7 +159,34 @@ def _route(routing: dict[str, Routing]):
     return run
 
 
-def _search(least: float):
+def _ask(graph: Graph, q: np.ndarray, least: float, start: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, row, similarity) found in the finished graph, with a wide beam where many are wanted."""
+    rows = np.arange(len(q))
+    for ef in ASK:
+        ids, sims = graph.search(q[rows], ef, None if start is None else start[rows])
+        wanted = (sims >= least) & (ids >= 0)
+        crowded = wanted.sum(1) * 2 >= ef
+        r, c = np.nonzero(wanted & (~crowded[:, None] | (ef == ASK[-1])))
+        yield rows[r], ids[r, c], sims[r, c]
+        rows = rows[crowded]
+        if not len(rows):
+            break
+
+
+def _keep(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs in both directions, each once, the ``k`` best of every first one."""
+    a, b, s = np.r_[a, b], np.r_[b, a], np.r_[s, s]
+    order = np.lexsort((-s, b, a))
+    a, b, s = a[order], b[order], s[order]
+    once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)] & (a != b)
+    a, b, s = a[once], b[once], s[once]
+    order = np.lexsort((b, -s, a))
+    a, b, s = a[order], b[order], s[order]
+    near = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[near], b[near], s[near]
+
+
+def _search(least: float, k: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         seen: set[bytes] = set()
@@ -170,29 +199,31 @@ def _search(least: float):
         inside, outside = np.flatnonzero(indexed), np.flatnonzero(~indexed)
         graph = Graph(x[inside], m=LINKS, ef=BEAM)
         found = [(inside[a], inside[b], s) for a, b, s in graph.insert_all(least)]
+        for i in range(0, len(inside), 512):
+            start = np.arange(i, min(i + 512, len(inside)))
+            for q, ids, sims in _ask(graph, graph.x[start], least, start):
+                found.append((inside[graph.order[start[q]]], inside[ids], sims))
         for i in range(0, len(outside), 512):
-            q = outside[i : i + 512]
-            ids, sims = graph.search(x[q])
-            r, c = np.nonzero((sims >= least) & (ids >= 0))
-            if len(r):
-                found.append((q[r], inside[ids[r, c]], sims[r, c]))
+            at = outside[i : i + 512]
+            for q, ids, sims in _ask(graph, x[at], least):
+                found.append((at[q], inside[ids], sims))
         a, b, s = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((int, int, np.float32)))
+        a, b, s = _keep(a, b, s, k)
         vid, space = table["vid"].combine_chunks(), table["space"][0].as_py()
-        both_a, both_b = pa.array(np.r_[a, b]), pa.array(np.r_[b, a])
         return pa.table(
             {
-                "space": pa.array([space] * (2 * len(a)), pa.string()),
-                "a": vid.take(both_a),
-                "b": vid.take(both_b),
-                "similarity": pa.array(np.r_[s, s].astype(np.float32)),
+                "space": pa.array([space] * len(a), pa.string()),
+                "a": vid.take(pa.array(a)),
+                "b": vid.take(pa.array(b)),
+                "similarity": pa.array(s.astype(np.float32)),
             }
         )
 
     return run
 
 
-def similar_nodes(signatures: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
-    """(space, a, b, similarity) of different vectors at least ``floor`` alike, in both directions."""
+def similar_nodes(signatures: DataFrame, vectors: DataFrame, floor: float, k: int) -> DataFrame:
+    """(space, a, b, similarity) of different vectors at least ``floor`` alike, for each ``a`` the ``k`` best of each of its shards."""
     routing = plan_routing(signatures)
     if not routing:
         return vectors.sparkSession.createDataFrame([], "space string, a binary, b binary, similarity float")
@@ -200,7 +231,7 @@ def similar_nodes(signatures: DataFrame, vectors: DataFrame, floor: float) -> Da
         _route(routing), "space string, shard bigint, indexed boolean, vid binary, unit binary"
     )
     found = routed.groupBy("space", "shard").applyInArrow(
-        _search(floor), "space string, a binary, b binary, similarity float"
+        _search(floor, k), "space string, a binary, b binary, similarity float"
     )
     return found.groupBy("space", "a", "b").agg(F.max("similarity").alias("similarity"))
 
@@ -246,7 +277,7 @@ def nearest(signatures: DataFrame, k: int = 10, floor: float = -1.0) -> DataFram
     """
     vectors = usable(signatures)
     members = _members(vectors)
-    near = similar_nodes(signatures, vectors, floor).where(F.col("similarity") >= floor)
+    near = similar_nodes(signatures, vectors, floor, k).where(F.col("similarity") >= floor)
     return _ranked(near, members, members, k)
 
 

@@ -3,8 +3,9 @@
 Rows are inserted in batches, a whole batch walking the graph in step: each walk keeps
 a beam of the ``ef`` most similar rows seen, expands the best one not yet expanded and
 ends when all are.  What a row finds on insertion are its neighbours among the earlier
-rows and, by one matrix product, in its batch; as later rows find it in turn, one pass
-of insertions yields every pair the graph can show.
+rows and, by one matrix product, in its batch.  Later rows find it in turn only as far
+as their beams reach, so each row is also asked of the finished graph (``search`` with
+``start``), the walk starting at itself.
 """
 
 from __future__ import annotations
@@ -113,11 +114,11 @@ class Graph:
             entry = ids[np.arange(len(q)), sims.argmax(1)]
         return entry
 
-    def search(self, q: np.ndarray, ef: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (in the order given to the graph) and similarities found for each query."""
+    def search(self, q: np.ndarray, ef: int | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (in the order given to the graph) and similarities found for each query; ``start`` are rows in the graph's order."""
         if not len(self.x):
             return np.full((len(q), 1), -1), np.full((len(q), 1), -2.0)
-        ids, sims = walk(self.x, self.layers[0], q, self._descend(q, 0), ef or self.ef)
+        ids, sims = walk(self.x, self.layers[0], q, self._descend(q, 0) if start is None else start.astype(np.int32), ef or self.ef)
         return np.where(ids >= 0, self.order[np.maximum(ids, 0)], -1), sims
 
     def insert_all(self, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -117,3 +117,14 @@ def test_nearest_of_asks_whom_it_is_told(spark):
     rows = [(f"s{i}", "a", "face", 2, [1.0, float(i)], 0.0) for i in range(4)]
     got = nearest_of(spark.createDataFrame(rows, SIG), F.col("sig_id") == "s0", k=2).orderBy("rank").collect()
     assert [(r.sig_id, r.neighbour, r["rank"]) for r in got] == [("s0", "s1", 1), ("s0", "s2", 2)]
+
+
+@pytest.mark.parametrize("size,n", [(100, 1500), (400, 1500), (1000, 2900)])
+def test_recall_in_large_groups_of_one_shard(spark, size, n):
+    rng = np.random.default_rng(size)
+    x = rng.standard_normal((n, 128)).astype(np.float32)
+    x[rng.choice(n, size, False)] = rng.standard_normal(128) + 0.4 * rng.standard_normal((size, 128))
+    df = spark.createDataFrame([(f"sig_{i:05d}", "e", "face", 128, v.tolist(), 0.0) for i, v in enumerate(x)], SIG)
+    got = {(int(a[4:]), int(b[4:])) for a, b in (tuple(r) for r in similar_pairs(df).collect())}
+    want = brute(x, 10, 0.8)
+    assert len(got & want) / len(want) >= 0.97 and len(got - want) <= 0.03 * len(want)
