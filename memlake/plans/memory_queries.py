@@ -469,7 +469,7 @@ def text_backlog_anti(spark, folder):
 
 
 def _faces(mem: Memory) -> DataFrame:
-    return identity.newest(identity.clean(mem.signatures("face")), 3)
+    return identity.clean(mem.signatures("face"))
 
 
 _SIG = """sg0 AS (SELECT * FROM signatures WHERE kind = 'face' AND len(vec) = dim AND NOT list_contains(vec, 'nan'::FLOAT) AND (list_max(vec) <> 0 OR list_min(vec) <> 0)

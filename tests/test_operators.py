@@ -206,3 +206,24 @@ def test_digest_and_renderers(spark, observations, entities):
     csv_text, html = reports.render_csv(d), reports.render_html(d)
     assert csv_text.startswith("SUMMARY") and "odd.jpg" in csv_text and "&lt;Ann&gt;" in html
     assert "Rule fired: loiter" in reports.render_text(d)
+
+
+def _faces_folder(spark, entities, tmp_path, faces):
+    """A folder with active persons and their face signatures, (sig_id, entity_id, vec) in order of time."""
+    rows = [(i, e, "face", len(v), v, float(t)) for t, (i, e, v) in enumerate(faces)]
+    spark.createDataFrame(rows, "sig_id string, entity_id string, kind string, dim int, vec array<float>, created_at double").write.parquet(f"{tmp_path}/signatures.parquet")
+    who = [{"entity_id": e, "type": "person", "label": "", "created_at": 0.0, "status": "active"} for e in sorted({e for _, e, _ in faces})]
+    entities(who).write.parquet(f"{tmp_path}/entities.parquet")
+    return str(tmp_path)
+
+
+def test_merges_look_at_all_signatures(spark, entities, observations, tmp_path):
+    from memlake.plans import memory_queries
+
+    eye = np.eye(16).tolist()
+    faces = [("s00", "ent_a", eye[0]), ("s01", "ent_b", eye[0])]  # the oldest ones are alike, four newer ones aren't
+    faces += [(f"s{k:02d}", "ent_a" if k % 2 else "ent_b", eye[k]) for k in range(2, 10)]
+    folder = _faces_folder(spark, entities, tmp_path, faces)
+    observations([{"observation_id": "o", "seq": 1, "subject_entity_id": "ent_b", "predicate": "p", "ts": 1.0}]).write.parquet(f"{folder}/observations.parquet")
+    assert [tuple(r) for r in memory_queries.merge_suggestions(spark, folder).collect()] == [("ent_a", "ent_b", 1.0)]
+    assert [tuple(r) for r in memory_queries.auto_merge_moves(spark, folder).collect()] == [("ent_a", "ent_b")]
