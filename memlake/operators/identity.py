@@ -64,27 +64,55 @@ def match_or_mint(faces: DataFrame, gallery: DataFrame, threshold: float = MATCH
     """
 
     def fold(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, list[np.ndarray]] = {}
+        mat = np.zeros((0, 0))  # one row a stored vector
+        owner = np.zeros(0, int)  # and its person, as a place in names
+        names: list[str] = []
+        place: dict[str, int] = {}
+        slots: list[list[int]] = []
+        n = 0
+
+        def store(e: str, v: np.ndarray, most: int | None = None) -> None:
+            nonlocal mat, owner, n
+            if e not in place:
+                place[e] = len(names)
+                names.append(e)
+                slots.append([])
+            own = slots[place[e]]
+            while most is not None and len(own) > most:
+                owner[own.pop(0)] = -1  # more than wanted in the gallery itself
+            if most is not None and len(own) == most:
+                at = own.pop(0)
+            else:
+                at, n = n, n + 1
+                if at >= len(mat):
+                    more = np.zeros((max(64, 2 * len(mat)), len(v)))
+                    more[: len(mat)] = mat if len(mat) else 0.0
+                    mat, owner = more, np.r_[owner, np.full(len(more) - len(owner), -1)]
+            mat[at], owner[at] = v, place[e]
+            own.append(at)
+
         for e, v in right.sort_values(["created_at", "sig_id"])[["entity_id", "g_vec"]].itertuples(index=False):
-            known.setdefault(e, []).append(np.asarray(v, np.float64))
+            store(e, np.asarray(v, np.float64))
         out = []
         for face, vec in left.sort_values(["ts", "face_id"])[["face_id", "vec"]].itertuples(index=False):
             v = np.asarray(vec, np.float64)
             size = np.linalg.norm(v)
             v = v / size if size else v
             best, sim = None, -1.0
-            for e, vs in known.items():
-                s = float(max(v @ x for x in vs))
-                if s > sim:
-                    best, sim = e, s
+            if n:
+                sims = mat[:n] @ v
+                sims[(owner[:n] < 0) | np.isnan(sims)] = -2.0
+                top = float(sims.max())
+                if top > sim:
+                    best, sim = names[owner[:n][sims == top].min()], top
             if best is not None and sim >= threshold:
                 stored = 1.0 - sim >= novelty
                 if stored:
-                    known[best] = [*known[best], v][-keep:]
+                    store(best, v, keep)
                 out.append((face, best, sim, False, stored))
             else:
                 new = f"ent_{face}"
-                known[new] = [v]
+                store(new, v)
                 out.append((face, new, max(0.0, sim), True, True))
         return pd.DataFrame(out, columns=["face_id", "entity_id", "similarity", "minted", "stored"])
 

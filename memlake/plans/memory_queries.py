@@ -790,12 +790,11 @@ def coalesced_edges(spark, folder):
 
 @query("match_or_mint")
 def match_or_mint(spark, folder):
-    """Two hundred vectors of the embedding table as one batch of faces, the first of each label as the gallery."""
+    """All vectors of the embedding table as one batch of faces, the first of each label as the gallery."""
     rows = spark.read.parquet(f"{folder}/embeddings.parquet")
     first = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vec"), F.min("vec_id").alias("created_at"))
     gallery = first.select(F.col("label").cast("string").alias("entity_id"), F.col("created_at").cast("string").alias("sig_id"), "vec", F.col("created_at").cast("double").alias("created_at"))
-    faces = rows.orderBy("vec_id").limit(200)
-    return identity.match_or_mint(faces.select(F.col("vec_id").cast("string").alias("face_id"), F.col("vec_id").cast("double").alias("ts"), F.col("embedding").alias("vec")), gallery, 0.3)
+    return identity.match_or_mint(rows.select(F.col("vec_id").cast("string").alias("face_id"), F.col("vec_id").cast("double").alias("ts"), F.col("embedding").alias("vec")), gallery, 0.3)
 
 
 @query("bound_tracks")

@@ -227,3 +227,27 @@ def test_merges_look_at_all_signatures(spark, entities, observations, tmp_path):
     observations([{"observation_id": "o", "seq": 1, "subject_entity_id": "ent_b", "predicate": "p", "ts": 1.0}]).write.parquet(f"{folder}/observations.parquet")
     assert [tuple(r) for r in memory_queries.merge_suggestions(spark, folder).collect()] == [("ent_a", "ent_b", 1.0)]
     assert [tuple(r) for r in memory_queries.auto_merge_moves(spark, folder).collect()] == [("ent_a", "ent_b")]
+
+
+def test_match_or_mint_takes_every_row(spark, tmp_path):
+    from memlake.plans import memory_queries
+
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((40, 64))
+    rows = [(i, int(i % 40 if i < 30 else 0), (base[i % 40] + 0.4 * rng.standard_normal(64)).tolist()) for i in range(450)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {int(r.face_id): r for r in memory_queries.match_or_mint(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(450))
+    known = {}  # the fold again, a list of vectors a person
+    for i, label, vec in rows:
+        if i < 30:
+            known.setdefault(str(label), []).append(np.asarray(vec, np.float32).astype(float))
+    for i, _, vec in rows:
+        v = np.asarray(vec, np.float32).astype(float)
+        v /= np.linalg.norm(v)
+        sim, who = max((max(float(v @ x) for x in xs), e) for e, xs in known.items())
+        if sim < 0.3:
+            who = f"ent_{i}"
+        if sim < 0.3 or 1 - sim >= 0.1:
+            known[who] = [*known.get(who, []), v][-12:]
+        assert got[i].entity_id == who and got[i].minted == (sim < 0.3)
