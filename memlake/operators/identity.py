@@ -11,8 +11,8 @@ from memlake.functions.columns import dot, unit
 from memlake.scratch import materialize
 
 MATCH_AT, NOVELTY_MIN, SIGNATURES_AT_MOST = 0.45, 0.10, 12
-#: A gallery block that travels to the tasks holds at most so many vectors.
-BLOCK = 50_000
+#: A gallery block that travels to the tasks holds at most so many vectors, and a part of the probes so many.
+BLOCK, PROBES = 50_000, 20_000
 
 
 def clean(signatures: DataFrame) -> DataFrame:
@@ -26,32 +26,42 @@ def clean(signatures: DataFrame) -> DataFrame:
 def best_matches(probes: DataFrame, gallery: DataFrame) -> DataFrame:
     """(probe_id, entity_id, similarity): the gallery's best signature for each probe, ties to the lesser ids.
 
-    The gallery is cut into blocks of bounded size by hash; every probe meets every
-    block in one matrix product, and the best of the blocks' bests wins.
+    The gallery is cut into blocks of bounded size by hash, and the probes into parts;
+    every part meets every block in one matrix product, and the best of the blocks'
+    bests wins.  A signature of the gallery that has the probe's id is the probe itself
+    and doesn't count.
     """
     gallery = materialize(gallery.select("entity_id", "sig_id", "vec"), "gallery")
     n = gallery.count()
-    blocks = max(1, -(-n // BLOCK))
+    blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-probes.count() // PROBES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     shown = gallery.select(
         F.col("entity_id").alias("g_entity"), F.col("sig_id").alias("g_sig"), F.col("vec").alias("g_vec"),
-        F.pmod(F.xxhash64("sig_id"), F.lit(blocks)).cast("int").alias("g_block"),
+        F.pmod(F.xxhash64("sig_id"), F.lit(blocks)).cast("int").alias("g_block"), every(parts).alias("g_part"),
+    )
+    asks = probes.select(
+        "probe_id", F.col("vec").alias("vec"), F.pmod(F.xxhash64("probe_id"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block")
     )
-    asks = probes.select("probe_id", F.col("vec").alias("vec")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values(["g_entity", "g_sig"])
+        none = pd.DataFrame({"probe_id": [], "entity_id": [], "similarity": []})
         if left.empty or right.empty:
-            return pd.DataFrame({"probe_id": [], "entity_id": [], "similarity": []})
+            return none
         g = np.stack(right["g_vec"].to_numpy()).astype(np.float64)
+        place = {s: i for i, s in enumerate(right["g_sig"])}
         out = []
-        for i in range(0, len(left), 2048):
-            part = left.iloc[i : i + 2048]
+        for i in range(0, len(left), 256):
+            part = left.iloc[i : i + 256]
             sims = np.stack(part["vec"].to_numpy()).astype(np.float64) @ g.T
-            at = sims.argmax(1)
-            out.append(pd.DataFrame({"probe_id": part["probe_id"].to_numpy(), "entity_id": right["g_entity"].to_numpy()[at], "similarity": sims.max(1)}))
+            own = np.array([place.get(p, -1) for p in part["probe_id"]])
+            sims[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
+            at, top = sims.argmax(1), sims.max(1)
+            found = pd.DataFrame({"probe_id": part["probe_id"].to_numpy(), "entity_id": right["g_entity"].to_numpy()[at], "similarity": top})
+            out.append(found[top > -np.inf])
         return pd.concat(out)
 
-    found = asks.groupBy("block").cogroup(shown.groupBy("g_block")).applyInPandas(best, "probe_id string, entity_id string, similarity double")
+    found = asks.groupBy("block", "part").cogroup(shown.groupBy("g_block", "g_part")).applyInPandas(best, "probe_id string, entity_id string, similarity double")
     top = F.max_by(F.struct("entity_id", "similarity"), F.struct("similarity", F.expr("-hash(entity_id)")))
     return found.groupBy("probe_id").agg(top.alias("m")).select("probe_id", "m.*")
 

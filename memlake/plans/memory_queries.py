@@ -498,8 +498,8 @@ def auto_merge_moves(spark, folder):
 SELECT pb.sig_id AS probe_id, round(max(list_dot_product(CAST(pb.vec AS DOUBLE[]), CAST(gl.vec AS DOUBLE[])) / pb.len_ / gl.len_), 3) AS similarity FROM pb, gl GROUP BY 1""")
 def best_match(spark, folder):
     faces = _faces(Memory(spark, folder))
-    probes = faces.where("sig_id LIKE 'sig\\_0%'").select(F.col("sig_id").alias("probe_id"), "vec")
-    return identity.best_matches(probes, faces.where("sig_id NOT LIKE 'sig\\_0%'")).select("probe_id", F.round("similarity", 3).alias("similarity"))
+    probes = faces.select(F.col("sig_id").alias("probe_id"), "vec")
+    return identity.best_matches(probes, faces).select("probe_id", "entity_id", F.round("similarity", 3).alias("similarity"))
 
 
 @query("threshold_sweep")

@@ -251,3 +251,19 @@ def test_match_or_mint_takes_every_row(spark, tmp_path):
         if sim < 0.3 or 1 - sim >= 0.1:
             known[who] = [*known.get(who, []), v][-12:]
         assert got[i].entity_id == who and got[i].minted == (sim < 0.3)
+
+
+def test_best_match_asks_every_face(spark, entities, tmp_path, monkeypatch):
+    from memlake.plans import memory_queries
+
+    monkeypatch.setattr(identity, "BLOCK", 7)
+    monkeypatch.setattr(identity, "PROBES", 9)
+    x = np.random.default_rng(9).standard_normal((30, 16))
+    ids = [f"sig_{i % 4:x}{i:03d}" for i in range(30)]
+    folder = _faces_folder(spark, entities, tmp_path, [(ids[i], f"ent_{i % 6}", v.tolist()) for i, v in enumerate(x)])
+    got = {r.probe_id: (r.entity_id, r.similarity) for r in memory_queries.best_match(spark, folder).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert sorted(got) == sorted(ids)
+    assert all(got[ids[i]][0] == f"ent_{s[i].argmax() % 6}" and abs(got[ids[i]][1] - s[i].max()) < 0.001 for i in range(30))
