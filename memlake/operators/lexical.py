@@ -111,13 +111,13 @@ def bm25(postings: DataFrame, stats: DataFrame, query: str, stemmed: bool = True
     )
 
 
-def search(docs: DataFrame, key: str, query: str, hard=None, limit: int = 500, stemmed: bool = True, postings: DataFrame | None = None) -> DataFrame:
-    """(key, score): the best documents among those that pass the hard filters, which come before the cut."""
+def search(docs: DataFrame, key: str, query: str, hard=None, limit: int | None = 500, stemmed: bool = True, postings: DataFrame | None = None) -> DataFrame:
+    """(key, score): the best documents among those that pass the hard filters, which come before the cut; all of them if ``limit`` is None."""
     postings = build_postings(docs, key, stemmed=stemmed) if postings is None else postings
     scored = bm25(postings, corpus_stats(docs, postings), query, stemmed).withColumnRenamed("doc_id", key)
     if hard is not None:
         scored = scored.join(docs.where(hard).select(key), key, "left_semi")
-    return scored.orderBy(F.desc("score"), key).limit(limit)
+    return scored if limit is None else scored.orderBy(F.desc("score"), key).limit(limit)
 
 
 def stem_column(words: pd.Series) -> pd.Series:

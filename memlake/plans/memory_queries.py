@@ -379,7 +379,7 @@ FROM m, c GROUP BY 1 HAVING count(*) = 2""",
 )
 def bm25_exact(spark, folder):
     docs = Memory(spark, folder).table("scene_descriptions")
-    found = lexical.search(docs, "description_id", "crate ramp", limit=1_000_000, stemmed=False)
+    found = lexical.search(docs, "description_id", "crate ramp", limit=None, stemmed=False)
     return found.select("description_id", F.round("score", 9).alias("score"))
 
 

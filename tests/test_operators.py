@@ -267,3 +267,10 @@ def test_best_match_asks_every_face(spark, entities, tmp_path, monkeypatch):
     np.fill_diagonal(s, -2)
     assert sorted(got) == sorted(ids)
     assert all(got[ids[i]][0] == f"ent_{s[i].argmax() % 6}" and abs(got[ids[i]][1] - s[i].max()) < 0.001 for i in range(30))
+
+
+def test_search_without_a_limit_gives_all(spark):
+    from memlake.operators import lexical
+
+    docs = spark.range(1200).selectExpr("CAST(id AS string) AS doc", "'crate ramp' AS text")
+    assert lexical.search(docs, "doc", "crate ramp", limit=None).count() == 1200
