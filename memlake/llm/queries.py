@@ -85,17 +85,21 @@ def p9_scrubbed(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.scrub(load(spark, folder, "documents"), load(spark, folder, "eval_items"))
 
 
-def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    scored = toxicity.score_documents(load(spark, folder, "documents"))
-    return scored.where("score >= 0.5").select("doc_id").distinct()
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(load(spark, folder, "documents"), load(spark, folder, "doc_labels"))
 
 
-def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return toxicity.score_documents(load(spark, folder, "documents"))
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_scores(spark, folder).where("score >= 0.5").select("doc_id").distinct()
 
 
 def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return toxicity.rates(toxicity.score_documents(load(spark, folder, "documents")))
+    return toxicity.rates(p10_scores(spark, folder))
+
+
+def p10_held_out(spark: SparkSession, folder: str) -> DataFrame:
+    """Precision and recall on the labels that fitting never sees."""
+    return toxicity.held_out_accuracy(p10_scores(spark, folder), load(spark, folder, "doc_labels"))
 
 
 QUERIES = {
@@ -116,6 +120,7 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_scores": p10_scores,
     "p10_rates": p10_rates,
+    "p10_held_out": p10_held_out,
 }
 
 _ONCE = "o AS (SELECT * FROM observations QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY received_at) = 1)"

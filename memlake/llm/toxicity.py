@@ -1,485 +1,368 @@
 """Abusive, hateful or sexual content by weak supervision.
 
-Each text is brought to plain words (``plain``: invisible characters, look-alike
-letters, digits for letters, dotted, spaced, stretched and starred words) and cut into
-segments.  Voters (word lists and patterns) vote on each segment.  A generative label
-model over the counts of all vote patterns of the whole corpus estimates how each voter
-votes on either class and how voters correlate; its posteriors label a bounded sample of
-segments, on which a linear classifier over words, word pairs and votes is trained.  A
-document's score is that of its worst segment.
+1. Every text is cut into segments of plain words (``plaintext``) and dozens of voters
+   vote on each (``voters``); words and votes are written once to the shared folder.
+2. A generative label model over the counts of all vote patterns of the whole corpus
+   estimates how often each voter speaks on either class and which voters repeat each
+   other.  Where hand labels of documents are given, the reviewers are one more voter,
+   on the document: its segments share the label, and how often reviewers err is
+   estimated with the rest.
+3. A linear classifier over words, word pairs and some of the voters learns the
+   posteriors of a bounded sample of segments.
+4. A document's score is that of its worst segment.
 """
 
 from __future__ import annotations
 
-import math
-import re
-import re._parser as sre_parse
-import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
-from heapq import heappush, heappushpop
+from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.leaks import _ABSENT
+from memlake.llm.plaintext import Words, segments
+from memlake.llm.voters import AGAINST, SHOWN, VOTERS, votes
 from memlake.operators.spread import spread
 from memlake.scratch import materialize
 
-#: Segments kept a vote pattern to train the classifier on (those of least hash).
-SAMPLE_A_PATTERN = 4000
-#: Hashed features of the classifier.
-FEATURES = 1 << 16
-
-# Word lists: without accents and in lower case, as ``plain`` leaves words.
-INSULTS = """idiot idiots moron morons imbecile imbeciles cretin cretins halfwit halfwits dimwit nitwit dumbass jackass
-dickhead shithead asshole arsehole bastard bastards bitch bitches cunt cunts twat twats prick pricks wanker wankers whore
-whores slut sluts scumbag scumbags scum fuck fucks fucked fucker fuckers fucking motherfucker bullshit shit crap douchebag
-loser losers retard retards retarded cripple cripples spastic faggot faggots fag nigger niggers tranny dyke kike chink paki
-gook spic wetback halfbreed subhuman subhumans brainless braindead dumbo dunce simpleton pathetic worthless vermin cow rat
-stupid filthy slimy lazy freaks degenerate degenerates tosser tossers git swine pig pigs weasel weasels maggot maggots coward
-cowards numpty slob creep lowlife scrounger parasite nutter knobhead bellend dipshit prat pillock gutless rotten""".split()
-#: Of these, words that need a person or a group near them.
-MILD = frozenset("vermin cow rat stupid filthy slimy lazy crap worthless pathetic freaks brainless braindead degenerate degenerates git swine pig pigs"
-    " weasel weasels maggot maggots slob creep parasite gutless rotten".split())
-FOREIGN = """arschloch arschlocher vollidiot vollidioten idioten abschaum fresse missgeburt drecksau wichser hurensohn schlampe
-hure fotze luder trottel dummkopf schwuchtel untermensch kanake scheisse spast connard connards connasse salope salaud pute putain
-encule gueule abruti cretine imbecil imbeciles inutil cabron cabrones puta puto gilipollas pendejo mierda maricon hijoputa idiota
-idiotas estupido estupida stronzo stronza cazzo vaffanculo puttana coglione caralho merda klootzak hoer kut
-сука блядь хуй пизда ублюдок идиот дебил тварь мразь пидор μαλακας μαλακα ηλιθιε βλακα πουτανα غبي عاهرة حقير 馬鹿 バカ 死ね クズ""".split()
-SEXUAL = """tits titties boobs nipples blowjob blowjobs handjob porn porno nude nudes horny orgasm penis vagina pussy cum
-cumshot masturbate masturbating wank dildo erection grope groping groped fondle thighs arse titten nackt geil geiles geile ficken
-tetas desnuda desnudo follar polla nue nichons bite sexting stripper fellatio""".split()
-#: Verbs and nouns that patterns below look for; a starred word may stand for one of them.
-CUES = """kill smash break snap knock burn choke bleed naked clothes trousers skirt basura vermine infection animal monkey
-rubbish kitchen dogs human ambulance payroll matches teeth knees fingers skull thick dirt hell desnuda wag""".split()
-
-_BENIGN = re.compile(
-    r"bastard file|idiot light|kill switch|cock washer|stopcock|brake balls|breast plate|naked flame|strip light|bare cable"
-    r"|dumb waiter|retarder|kill(?:ing)? (?:the power|it slowly|the engine|the lights)|scum off|filthy (?:tray|sump|filter|floor|water)"
-    r"|vermin (?:droppings|control|trap|bait)|rat (?:trap|poison|droppings)|parasitic drain|nude colou?r|fire door|burn in\b"
-    r"|shot \d+ (?:photos|frames)|female (?:thread|connector|plug)|male (?:thread|connector|plug)|slave cylinder|master switch"
-)
-_REPORT = re.compile(
-    r"\b(?:policy|policies|training|slide|complaint|personnel|procedure|guideline|code of conduct|lead to a warning|was asked to leave"
-    r"|used offensive language|offensive language|how to respond|no details are kept|reported (?:the )?(?:abuse|harassment)|pest control"
-    r"|drop test|film crew|changing room|deleted the bad ones)\b"
-)
-_PERSON = r"(?:you|your|you're|he|his|him|she|her|they|their|them|guards?|drivers?|women|men|people|children|folk|lot of you)"
-_BODY = r"(?:teeth|legs?|knees?|neck|fingers?|skull|face|head|arms?|bones?|throat|nose|jaw|eyes?|ribs?|hands?)"
-
-_SEX = re.compile(
-    r"unbutton\w* (?:his|her|my|your) (?:fly|trousers|blouse|shirt)|went down on (?:her|his) knees|bare (?:thighs|breasts|skin|body)"
-    r"|(?:take|took) (?:your|her|his) clothes off|naked (?:under|in bed|tonight|for me)|naked.{0,40}\b(?:bed|coat)|in bed\b.{0,20}with me"
-    r"|anything you ask in bed|having sex|had sex|sex with|moan(?:s|ed|ing)? (?:so )?loud|on top of you|bend (?:her|him|you) over"
-    r"|begged for more|(?:hand|hands) up (?:her|your|his) skirt|with (?:his|her) trousers down|want a look at (?:those|her|my)"
-    r"|with nothing on|show us your|send me nudes|very hard\b.{0,10}$|alone in.{0,40}very hard|love to grope|tight arse|nice boobs"
-    r"|zieh dich aus|nackt sehen|deshabille toi|deshabille-toi|te voir nue|quiero verte desnud\w+|ensename las|раздевайся"
-)
-_THREAT = re.compile(
-    rf"\bi(?:'ll| will|'d| would|'m going to| am going to)?\b.{{0,40}}\b(?:break|snap|smash|cut off|cut|knock|crush|punch|slit|kick in|burn)\b.{{0,20}}\b(?:your|their|his|her)\b.{{0,20}}\b{_BODY}"
-    rf"|knock (?:the|your) teeth|set fire to (?:your|his|her|their)|(?:leave|leaving) in an ambulance|find out where you live"
-    r"|nobody would miss you|vanish for good|do the world a (?:kindness|favou?r)|jump off (?:the|a)|kill yourself|go hang yourself"
-    r"|(?:hope|wish) .{0,40}(?:rolls over|crush\w*|run over|choke|die)\b|choke on your|see (?:them|you|him|her) bleed|burn down the .{0,40}(?:house|church|mosque|temple|home)"
-    rf"|\b(?:pay to watch|one more word|again and i)\b.{{0,60}}\b(?:{_BODY}|bone you have|ugly face)\b|drop dead\b"
-    r"|bring the matches|i(?:'ll| will) kill (?:you|him|her|them)|you(?:'re| are) dead\b|your days are numbered|smash your face|throw you out"
-    r"|schlage? ich (?:dir|dich)|ich (?:bring|schlag)\w* dich|zahne aus|je te (?:casse|tue|creve)|je vais te (?:tuer|casser)|te parto la|te voy a matar|a palos"
-)
-_HATE = re.compile(
-    r"\b(?:all|alle|les|los|las|the|these|those|filthy)\b.{1,30}\b(?:are|sind|sont|son)\b.{0,12}\b(?:vermin|scum|abschaum|vermine|basura|rats|animals|filth|parasites|an infection|a disease|a plague|subhuman)"
-    r"|not (?:really|even|quite) human|half animal|breed like|driven off|prays? to a rock|lies in every sentence|his kind|your kind|their kind"
-    r"|steal from the day|never hire \w+|no [\w ]{3,20}, no dogs|give one to a monkey|like (?:monkeys|animals|apes)|back in a cage"
-    r"|ship every last one|would be no [\w ]{3,20} left|children (?:wouldn't|shouldn't|should not) be let|should be put down|not on the payroll"
-    r"|women have no brains|back to the kitchen|real men don't|these freaks|with the rest of the rubbish|among decent folk"
-    r"|clean before they came|filthy [\w ]{3,20} scum|don't deserve to (?:eat|live|breathe)|gehoren vertrieben|qu'on les chasse|habria que echarlos"
-    r"|deserve to (?:die|be shot|hang)|send them (?:all )?back|go back to your (?:own )?country"
-)
-_DEGRADE = re.compile(
-    r"you(?:'re| are)? (?:a |an |such a |just a |nothing but )?(?:complete |total |utter |absolute |useless |worthless |pathetic |lazy |stupid |filthy |slimy |little |thick |dirty |miserable |brain-?dead,? |ugly |fat )+\w+"
-    r"|you(?:'re| are) (?:dirt|trash|garbage|nothing|scum|a disgrace|a waste)|waste of (?:air|space|skin|oxygen)|piece of (?:crap|shit|filth|dirt|garbage)"
-    r"|your mother should|people as thick as|let out without a lead|thick cow|stupid (?:mouth|cow|bitch|pig|bastard)|(?:fat|ugly|dirty) (?:pig|cow|sow)"
-    r"|worthless (?:little )?\w+|can't even hold|go to hell|shut your .{0,12}mouth|(?:slimy|filthy|miserable|brainless|pathetic|lazy) \w+(?: \w+)? (?:are you|you are)"
-    r"|\bis (?:a |an )(?:slimy|filthy|stupid|pathetic|lazy|worthless|miserable)\b|what (?:a|sort of) (?:brainless|brain-?dead|stupid|worthless)"
-    r"|only an? [\w-]+ would (?:leave|do|say|think)|cry about it|who let this \w+ \w+ (?:in|into|near)|(?:that|your) ugly face|\bis a bloody \w+|you (?:pig|swine|coward|maggot|weasel)"
-    r"|halt die (?:fresse|klappe)|ferme ta|cierra la boca|verschwinde endlich|degage|du bist ein|espece de|eres un"
-)
-
-_LOOKALIKE = str.maketrans("аеорсухіѕјһԁɡԛԝкмтвнАЕОРСУХІЅКМТВНοαενρτυκι", "aeopcyxisjhdgqwkmtbhaeopcyxiskmtbhoaevptuki")
-_LEET = str.maketrans("013457@$!€+", "oieastasiet")
-_LEET_L = str.maketrans("013457@$!€+", "oleastaslet")
-_DOTTED = regex.compile(r"(?<![\w.])\.?((?:\p{L}\p{M}?[.\-_*·•]){2,}\p{L}\p{M}?|\p{L}\.\p{L})\.?(?![\w])")
-_SPACED = regex.compile(r"(?<!\w)((?:\p{L}\p{M}? ){3,}\p{L}\p{M}?)(?!\w)")
-_TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@$!€+*'’]+(?:-[\p{L}\p{M}]+)*,?")
-_STRETCH = regex.compile(r"(\p{L})\1{2,}")
-_CUT = regex.compile(r"(?<=[.!?;。！？])[\"'”»’)]*\s+|[\n\r\x85 ]+|\s\|\s")
-_LATIN, _OTHER = regex.compile(r"[a-zA-Z]"), regex.compile(r"[\p{Cyrillic}\p{Greek}]")
-_DIGITS = re.compile(r"\d+")
-_ODD = regex.compile(r"[^\W_][@$!€+*0-9]|[@$!€+*0-9][^\W_]")
-
-_KNOWN = frozenset(INSULTS) | frozenset(FOREIGN) | frozenset(SEXUAL)
-_STARRED: dict[tuple[str, str, int], str] = {}
-for _w in (*CUES, *SEXUAL, *FOREIGN, *INSULTS):
-    _STARRED[(_w[0], _w[-1], len(_w))] = _w
-
-VOTERS = ("insult", "foreign", "sexual", "explicit", "threat", "hate", "degrade", "veiled", "report", "calm")
-
-
-def _bare(word: str) -> str:
-    """Lower case without accents."""
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
-
-
-@lru_cache(maxsize=200_000)
-def _word(token: str) -> tuple[str, bool]:
-    """A token in plain letters, with the comma after it, and whether it was veiled and is a listed word."""
-    word, veiled = _plain_word(token.removesuffix(","))
-    return (word + "," if word and token[-1] == "," else word), veiled
-
-
-def _plain_word(token: str) -> tuple[str, bool]:
-    word = token
-    if _LATIN.search(word) and _OTHER.search(word):
-        word = word.translate(_LOOKALIKE)
-    low = _bare(word).replace("’", "'")
-    if low in _KNOWN:
-        return low, word != token
-    if "**" in low:
-        core = low.strip("'!+")
-        guess = _STARRED.get((core[0], core[-1], len(core)))
-        return (guess, True) if guess else (low, False)
-    if _ODD.search(low):
-        core = low.rstrip("!+")
-        for table in (_LEET, _LEET_L):
-            guess = core.translate(table)
-            if guess in _KNOWN or guess in CUES:
-                return guess, True
-            folded = _STRETCH.sub(r"\1", guess)
-            if folded in _KNOWN:
-                return folded, True
-        if any(c.isalpha() for c in core) and any(c in "@$" for c in core):
-            return core.translate(_LEET), False
-        return low.strip("!+*"), False
-    low = low.strip("!+*")
-    if _STRETCH.search(low):
-        for to in (r"\1", r"\1\1"):
-            guess = _STRETCH.sub(to, low)
-            if guess in _KNOWN or guess in CUES:
-                return guess, True
-    return low, False
-
-
-def _joined(m) -> str:
-    """Letters set apart by dots or blanks, put together; a known word at the end is parted from what stands before it."""
-    word = regex.sub(r"[^\p{L}\p{M}]", "", m.group(1))
-    bare = _bare(word)
-    for k in range(0, 3):
-        if bare[k:] in _KNOWN or bare[k:] in CUES:
-            return (" ".join([*word[:k], word[k:]])) + "\x02"
-    return word
-
-
-def plain(text: str) -> list[tuple[str, bool]]:
-    """The segments of a text in plain lower-case words, each with whether a listed word in it was veiled."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", _ABSENT.sub("", text))
-    text = _SPACED.sub(_joined, _DOTTED.sub(_joined, text))
-    out = []
-    for segment in _CUT.split(text):
-        veiled = "\x02" in segment
-        words = []
-        for token in _TOKEN.findall(segment.replace("\x02", "") if veiled else segment):
-            w, hidden = _word(token)
-            veiled |= hidden
-            if w:
-                words.append(w)
-        if words:
-            out.append((" ".join(words), veiled))
-    return out
-
-
-def _words(segment: str) -> list[str]:
-    return [w.strip(",'") for w in segment.split()]
-
-
-_INSULT_SET, _FOREIGN_SET, _SEXUAL_SET = frozenset(INSULTS) - MILD, frozenset(FOREIGN), frozenset(SEXUAL)
-_PERSON_NEAR = re.compile(rf"\b{_PERSON}\b")
-_UNSPACED = tuple(w for w in FOREIGN if not w.isascii() and len(w) <= 2 or regex.search(r"[\p{Han}\p{Katakana}\p{Hiragana}]", w))
-
-
-def required(pattern: re.Pattern) -> frozenset[str]:
-    """Literals of which every match of the pattern holds at least one."""
-
-    def of(parts) -> set[str] | None:
-        """The best set for a sequence: the one whose shortest literal is longest; None if nothing is sure."""
-        found, run = [], ""
-        for op, arg in [*parts, (None, None)]:
-            if op is sre_parse.LITERAL:
-                run += chr(arg)
-                continue
-            if run:
-                found.append({run})
-                run = ""
-            inner = None
-            if op is sre_parse.SUBPATTERN:
-                inner = of(arg[-1])
-            elif op is sre_parse.BRANCH:
-                each = [of(x) for x in arg[1]]
-                inner = set().union(*each) if all(each) else None
-            elif op is sre_parse.MAX_REPEAT and arg[0] > 0:
-                inner = of(arg[2])
-            if inner:
-                found.append(inner)
-        return max(found, key=lambda x: min(map(len, x)), default=None)
-
-    return frozenset(of(list(sre_parse.parse(pattern.pattern))) or {""})
-
-
-def _watch(patterns: list[re.Pattern]) -> ahocorasick.Automaton:
-    """Finds in one pass which patterns can match a segment at all: literal -> bit mask."""
-    masks: Counter[str] = Counter()
-    for i, p in enumerate(patterns):
-        for literal in required(p):
-            masks[literal] |= 1 << i
-    a = ahocorasick.Automaton()
-    for literal, mask in masks.items():
-        a.add_word(literal, mask)
-    a.make_automaton()
-    return a
-
-
-_PATTERNS = [_BENIGN, _REPORT, _SEX, _THREAT, _HATE, _DEGRADE]
-_WATCHED = _watch(_PATTERNS)
-
-
-def votes(segment: str, veiled: bool) -> str:
-    """One letter a voter: + harmful, - harmless, 0 abstains."""
-    can = 0
-    for _, mask in _WATCHED.iter(segment):
-        can |= mask
-    benign = bool(can & 1 and _BENIGN.search(segment))
-    text = segment
-    if benign:  # what is left may read differently
-        text, can = _BENIGN.sub(" ", segment), -1
-    words = set(_words(text))
-    said = words & _INSULT_SET
-    mild = words & MILD and _PERSON_NEAR.search(text)
-    report = benign or bool(can & 2 and _REPORT.search(segment))
-    found = [
-        bool(said or mild),
-        bool(words & _FOREIGN_SET) or any(w in text for w in _UNSPACED),
-        bool(words & _SEXUAL_SET),
-        bool(can & 4 and _SEX.search(text)),
-        bool(can & 8 and _THREAT.search(text)),
-        bool(can & 16 and _HATE.search(text)),
-        bool(can & 32 and _DEGRADE.search(text)),
-        veiled,
-    ]
-    return "".join("+" if x else "0" for x in found) + ("-" if report else "0") + ("0" if any(found) or said else "-")
+#: Segments of unlabelled documents and labelled documents that the classifier learns from, at most about so many.
+SAMPLE_SEGMENTS, LABELLED_AT_MOST = 20_000, 10_000
+#: What all segments without label together weigh, a segment of a labelled document weighing 1.
+UNLABELLED_WEIGHT = 150.0
+#: What all vote patterns without their words together weigh.
+WORDLESS_WEIGHT = 150.0
+#: Words and pairs that stand in fewer documents of the sample are not learnt.
+MIN_DOCUMENTS = 3
+#: Labels of one document in so many (by hash of its id) are never learnt from, so that accuracy can be measured.
+HELD_OUT_ONE_IN = 5
+#: Hashed features of the classifier; the last ones are the voters'.
+FEATURES = 1 << 18
+_PAIR = np.uint32(0x9E3779B1)
+
+
+def vote_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, segments, votes) of every row, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                s = segments(part.column("text"), words)
+                ends = np.searchsorted(s.row, np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (s.text, pa.array(votes(s), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("source"), *lists], ["doc_id", "source", "segments", "votes"]
+                )
+
+    form = "doc_id bigint, source string, segments array<string>, votes array<bigint>"
+    return materialize(spread(documents.select("doc_id", "source", "text")).mapInArrow(run, form), "votes")
+
+
+def _logit(p):
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class Bags:
+    """Segments of labelled documents: which document each belongs to, and what its reviewers said (share of 1s)."""
+
+    def __init__(self, bag: np.ndarray, said: np.ndarray):
+        self.bag, self.said = bag, said
+        self.sure, self.wrong = 0.95, 0.03  # P(label 1 | abusive), P(label 1 | not)
+
+    def posterior(self, p: np.ndarray) -> np.ndarray:
+        """What each segment's own probability becomes once the document's label is heard."""
+        if not len(p):
+            return p
+        p = np.minimum(p, 0.95)  # neither votes nor words are surer than this before the label is heard
+        calm = np.exp(np.bincount(self.bag, np.log1p(-p), len(self.said)))
+        if len(self.said) >= 50:
+            some = 1 - calm
+            self.sure = float((some @ self.said + 9.5) / (some.sum() + 10))
+            self.wrong = float((calm @ self.said + 0.6) / (calm.sum() + 20))
+        yes = np.where(self.said > 0.5, self.sure, np.where(self.said < 0.5, 1 - self.sure, 0.5))
+        no = np.where(self.said > 0.5, self.wrong, np.where(self.said < 0.5, 1 - self.wrong, 0.5))
+        return p * (yes / (yes * (1 - calm) + no * calm))[self.bag]
 
 
 class LabelModel:
-    """Generative model of the votes: class prior, each voter's votes by class, correlations between voters.
+    """Generative model of the votes: class prior, each voter's rate by class, correlations between voters.
 
-    Fitted by expectation maximisation on pattern counts.  Voters that agree more than
-    the class explains share their weight, so that two lists of the same words don't
-    count twice.
+    Fitted by expectation maximisation on pattern counts and, where there are labelled
+    documents, on their segments.  Voters that agree more than the class explains share
+    their weight, so that two lists of the same words don't count twice.
     """
 
-    def __init__(self, patterns: dict[str, int], rounds: int = 30):
-        self.patterns = sorted(patterns)
-        n = np.array([patterns[p] for p in self.patterns], float)
+    def __init__(self, patterns: dict[int, int], labelled: np.ndarray | None = None, bags: Bags | None = None, rounds: int = 25, emphasis: float = 5.0):
+        self.patterns = np.array(sorted(patterns), np.int64)
+        n = np.array([patterns[p] for p in self.patterns.tolist()], float)
         m = len(VOTERS)
-        votes_ = np.array([["0+-".index(c) for c in p] for p in self.patterns]).reshape(-1, m)
-        hot = (votes_[:, :, None] == np.arange(3)).astype(float)  # pattern, voter, vote
-        plus = hot[:, :, 1].sum(1)
-        minus = hot[:, :-1, 2].sum(1)
-        post = np.where(plus > minus, 0.9, np.where(plus > 0, 0.3, 0.01)) if len(n) else np.zeros(0)
-        self.share = np.ones(m)
-        signed = hot[:, :, 1] - hot[:, :, 2]
+        fired = self._fired(self.patterns)
+        plus, minus = fired[:, : m - len(AGAINST)].sum(1), fired[:, m - len(AGAINST) :].sum(1)
+        post = np.where(plus >= 3, 0.8, np.where(plus == 2, 0.5, np.where(plus == 1, 0.15, 0.001))) * np.where(minus > 0, 0.5, 1.0)
+        self.share, self.prior = np.ones(m), 0.01
+        self.given = np.full((2, m), 0.5)
+        at = np.searchsorted(self.patterns, labelled) if labelled is not None and len(labelled) else np.zeros(0, int)
         for _ in range(rounds if n.sum() else 0):
-            weight = np.stack([n * (1 - post), n * post])  # class, pattern
+            weight = np.stack([n * (1 - post), n * post])
+            self.prior = float((weight[1].sum() + 1) / (n.sum() + 100))
+            if len(at):  # what the labels say about segments with these votes
+                own = bags.posterior(post[at])
+                weight[1] += emphasis * np.bincount(at, own, len(n))
+                weight[0] += emphasis * np.bincount(at, 1 - own, len(n))
             total = weight.sum(1)
-            self.prior = (total + 1) / (total.sum() + 2)
-            # a voter is held better than chance: pseudo counts for its own side
-            lean = np.zeros((2, m, 3))
-            lean[1, :-2, 1] = lean[0, -2:, 2] = 2.0
-            self.given = (np.einsum("cp,pjv->cjv", weight, hot) + 0.5 + lean) / (total[:, None, None] + 1.5 + lean.sum(2, keepdims=True))
+            lean = np.full((2, m), 0.05)  # a voter is held better than chance: pseudo counts for its own side
+            lean[1, : m - len(AGAINST)] = lean[0, m - len(AGAINST) :] = 0.3
+            self.given = (weight @ fired + lean) / (total[:, None] + lean + 4.0)
             excess = np.zeros((m, m))
             for c in (0, 1):
                 w = weight[c] / max(total[c], 1e-9)
-                centred = signed - w @ signed
+                centred = fired - w @ fired
                 cov = (centred * w[:, None]).T @ centred
-                scale = np.sqrt(np.outer(np.diag(cov), np.diag(cov))) + 1e-9
-                excess += self.prior[c] * np.abs(cov / scale)
-            self.correlation = excess
+                spread_ = np.sqrt(np.maximum(np.diag(cov), 0.0))
+                excess += 0.5 * np.abs(cov) / (np.outer(spread_, spread_) + 1e-9)
             np.fill_diagonal(excess, 0)
+            self.correlation = excess
             self.share = 1 / (1 + np.clip(excess, 0, 1).sum(1) / 2)
-            odds = np.log(self.prior[1] / self.prior[0]) + np.einsum(
-                "pjv,jv,j->p", hot, np.log(self.given[1] / self.given[0]), self.share
-            )
-            post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        self.posterior = dict(zip(self.patterns, post))
+            post = self._posterior(fired)
+        self.post = post
+
+    @staticmethod
+    def _fired(patterns: np.ndarray) -> np.ndarray:
+        return ((patterns[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
+
+    def _posterior(self, fired: np.ndarray) -> np.ndarray:
+        yes, no = np.log(self.given[1] / self.given[0]), np.log((1 - self.given[1]) / (1 - self.given[0]))
+        return _sigmoid(_logit(self.prior) + fired @ (self.share * yes) + (1 - fired) @ (self.share * no))
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """The probability that a segment with these votes is abusive."""
+        return self._posterior(self._fired(np.asarray(patterns, np.int64)))
+
+
+def features(hashes: np.ndarray, start: np.ndarray, vote: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, feature): words, pairs of words that follow each other, and the voters shown."""
+    of = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    room = np.uint32(FEATURES - len(VOTERS))
+    pair = np.flatnonzero(of[1:] == of[:-1])
+    two = (hashes[pair] * _PAIR) ^ hashes[pair + 1]
+    fired = [np.flatnonzero(vote >> i & 1) for i in SHOWN]
+    return (
+        np.concatenate([of, of[pair], *fired]),
+        np.concatenate([hashes % room, two % room, *(np.full(len(f), FEATURES - len(VOTERS) + i) for f, i in zip(fired, SHOWN))]).astype(np.int64),
+    )
 
 
-@lru_cache(maxsize=500_000)
-def _slot(name: str) -> int:
-    return xxhash.xxh32_intdigest(name) % (FEATURES - 64)
+def _coded(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of segments, and where each segment starts."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    tokens = pc.split_pattern(texts, " ")
+    coded = tokens.flatten().dictionary_encode()
+    dictionary = coded.dictionary.to_pylist()
+    o = tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+    at = coded.indices.to_numpy()
+    ids = words.ids(dictionary)  # before the arrays, which grow with it
+    hashes = words.hash[ids[at]] if len(coded) else np.zeros(0, np.uint32)
+    if "" in dictionary:
+        some = at != dictionary.index("")
+        return hashes[some], np.r_[0, np.cumsum(some)][o]
+    return hashes, o
 
 
-@lru_cache(maxsize=4096)
-def _vote_slots(vote: str) -> tuple[int, ...]:
-    return tuple(FEATURES - 64 + 3 * i + "0+-".index(c) for i, c in enumerate(vote))
+class Classifier:
+    """Logistic regression over hashed words, word pairs and votes; ``bias`` is added to each segment."""
 
+    def __init__(self, w: np.ndarray | None = None, bias: float = 0.0):
+        self.w = np.zeros(FEATURES, np.float32) if w is None else w
+        self.bias = bias
 
-def _names(segment: str) -> set[str]:
-    """A segment's different words and word pairs; all numbers are one."""
-    words = _words(_DIGITS.sub("0", segment))
-    names = set(words)
-    names.update(map(" ".join, zip(words, words[1:])))
-    return names
+    def odds(self, at: np.ndarray, idx: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(at, self.w[idx], n) + self.bias
 
 
-def _features(segment: str, vote: str) -> list[int]:
-    return [*_vote_slots(vote), *map(_slot, sorted(_names(segment)))]
+class Trainer:
+    """Adaptive gradient descent on soft labels; equal segments are one row with the sum of their weights.
 
+    A segment without words stands for words that aren't known: it has its votes only.
+    """
 
-class Classifier:
-    """Logistic regression over hashed words, word pairs and votes, on soft labels."""
-
-    def __init__(self, rows: list[tuple[str, str, float, float]], rounds: int = 120, rate: float = 0.5, decay: float = 1e-5):
-        self.w = np.zeros(FEATURES, np.float32)
-        if not rows:
-            return
-        found = [_features(s, v) for s, v, _, _ in rows]
-        at = np.repeat(np.arange(len(rows)), [len(f) for f in found])
-        idx = np.concatenate(found)
-        y = np.array([r[2] for r in rows])
-        weight = np.array([r[3] for r in rows])
-        weight = weight / weight.sum()
-        w, seen = np.zeros(FEATURES), np.full(FEATURES, 1e-8)
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[idx], len(rows)), -30, 30)))
-            grad = np.bincount(idx, ((p - y) * weight)[at], FEATURES) + decay * w
-            seen += grad * grad
-            w -= rate * grad / np.sqrt(seen)
-        self.w = w.astype(np.float32)
-
-    @cached_property
-    def _plain(self) -> list[float]:
-        return self.w.tolist()
-
-    @cached_property
-    def _weight(self):
-        """Weight of a name; remembered, as names repeat."""
-        plain_ = self._plain
-        return lru_cache(maxsize=500_000)(lambda name: plain_[_slot(name)])
-
-    def score(self, segment: str, vote: str) -> float:
-        odds = sum(map(self._plain.__getitem__, _vote_slots(vote))) + sum(map(self._weight, _names(segment)))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-
-
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the task's vote patterns, and of each pattern the segments of least hash."""
-    counts: Counter[str] = Counter()
-    kept: dict[str, list] = defaultdict(list)
-    held: dict[str, set] = defaultdict(set)
-    for b in batches:
-        for text in b.column("text").to_pylist():
-            for segment, veiled in plain(text):
-                p = votes(segment, veiled)
-                counts[p] += 1
-                h = -(xxhash.xxh64_intdigest(segment) >> 1)
-                best, known = kept[p], held[p]
-                if (len(best) < SAMPLE_A_PATTERN or h > best[0][0]) and h not in known:
-                    known.add(h)
-                    if len(best) < SAMPLE_A_PATTERN:
-                        heappush(best, (h, segment))
-                    else:
-                        known.discard(heappushpop(best, (h, segment))[0])
-    rows = [(p, n, None, None) for p, n in counts.items()] + [(p, None, -h, s) for p, x in kept.items() for h, s in x]
-    cols = list(zip(*rows)) or [()] * 4
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()))],
-        ["pattern", "n", "h", "segment"],
-    )
+    def __init__(self, texts: list[str], vote: np.ndarray, document: np.ndarray, weight: np.ndarray):
+        keys = np.array([t or f"\x00{v}" for t, v in zip(texts, vote.tolist())], object)
+        _, first, self.row = np.unique(keys, return_index=True, return_inverse=True)
+        self.row = self.row.reshape(-1)
+        self.weight = weight / weight.sum()
+        self.total = np.bincount(self.row, self.weight)
+        at, idx = features(*_coded(pa.array([texts[i] for i in first], pa.string()), Words()), vote[first])
+        # a word or pair of too few documents would only remember them
+        seen = np.unique(np.stack([self.row, document]), axis=1)
+        row_documents = np.bincount(seen[0])
+        pairs = np.unique(at * FEATURES + idx)
+        often = np.bincount(pairs % FEATURES, row_documents[pairs // FEATURES], FEATURES) >= MIN_DOCUMENTS
+        keep = often[idx] | (idx >= FEATURES - len(VOTERS))
+        self.at = at[keep]
+        self.used, self.place = np.unique(idx[keep], return_inverse=True)
+        self.place = self.place.reshape(-1)
+        self.w, self.seen = np.zeros(len(self.used)), np.full(len(self.used), 1e-10)
+        self.bias, self.seen_bias = 0.0, 1e-10
+
+    def _odds(self) -> np.ndarray:
+        return np.bincount(self.at, self.w[self.place], len(self.total)) + self.bias
+
+    def odds(self) -> np.ndarray:
+        """The odds of every segment, in the order given."""
+        return self._odds()[self.row]
+
+    def steps(self, y: np.ndarray, n: int, rate: float = 0.3, decay: float = 1e-5) -> None:
+        goal = np.bincount(self.row, self.weight * y)
+        self.seen[:], self.seen_bias = 1e-10, 1e-10
+        for _ in range(n):
+            gap = _sigmoid(self._odds()) * self.total - goal
+            grad = np.bincount(self.place, gap[self.at], len(self.used)) + decay * self.w
+            self.seen += grad * grad
+            self.w -= rate * grad / np.sqrt(self.seen)
+            self.seen_bias += gap.sum() ** 2
+            self.bias -= rate * gap.sum() / np.sqrt(self.seen_bias)
+
+    def classifier(self) -> Classifier:
+        w = np.zeros(FEATURES, np.float32)
+        w[self.used] = self.w
+        return Classifier(w, float(self.bias))
+
+
+def held_out(doc_id=None):
+    """The condition under which a document's label is kept for measuring."""
+    return F.pmod(F.xxhash64(F.lit(11), F.col("doc_id") if doc_id is None else doc_id), F.lit(HELD_OUT_ONE_IN)) == 0
+
+
+def said_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, said): the share of each document's labels that call it abusive."""
+    return labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("said"))
+
+
+def fit(voted: DataFrame, labels: DataFrame | None = None) -> tuple[LabelModel, Classifier]:
+    """The label model of all votes and the classifier trained on its posteriors.
+
+    The driver gets the distinct vote patterns with their counts, about
+    ``SAMPLE_SEGMENTS`` segments (each pattern by the square root of its count, those
+    of least hash) and the segments of at most about ``LABELLED_AT_MOST`` labelled
+    documents (by hash; held-out ones never), however large the corpus.
+    """
+    each = voted.select(F.explode(F.arrays_zip("votes", "segments")).alias("s")).select(F.col("s.votes").alias("pattern"), F.col("s.segments").alias("segment"))
+    n = {r["pattern"]: r["n"] for r in each.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+    root = {p: c**0.5 for p, c in n.items()}
+    total = sum(root.values())
+    ids, said, found = [], [], []
+    if labels is not None:
+        said_ = said_of(labels.where(~held_out()))
+        size = said_.count()
+        if size > LABELLED_AT_MOST:
+            said_ = said_.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1_000_000)) < int(LABELLED_AT_MOST / size * 1_000_000))
+        for r in voted.join(said_, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("said", "segments", "votes").toLocalIterator():
+            ids += [len(said)] * len(r["votes"])
+            said.append(r["said"])
+            found.append((r["segments"], r["votes"]))
+    bags = Bags(np.array(ids, int), np.array(said, float))
+    labelled = np.array([v for _, vs in found for v in vs], np.int64)
+    model = LabelModel(n, labelled, bags)
+    texts, patterns = [s for ss, _ in found for s in ss], labelled.tolist()
+    if n:
+        grain = 1 << 40
+        quota = voted.sparkSession.createDataFrame(
+            [(p, int(min(1.0, SAMPLE_SEGMENTS * root[p] / total / n[p]) * grain)) for p in n], "pattern bigint, least bigint"
+        )
+        rows = each.join(quota, "pattern").where(F.pmod(F.xxhash64("segment"), F.lit(grain)) < F.col("least"))
+        for r in rows.select("pattern", "segment").distinct().orderBy("pattern", "segment").toLocalIterator():
+            texts.append(r["segment"])
+            patterns.append(r["pattern"])
+    if not texts:
+        return model, Classifier()
+    return model, learn(model, bags, texts, np.array(patterns, np.int64), len(labelled), n)
+
+
+def learn(model: LabelModel, bags: Bags, texts: list[str], vote: np.ndarray, k: int, n: dict[int, int]) -> Classifier:
+    """The classifier of segments, of which the first ``k`` are those of the labelled documents.
+
+    Each vote pattern is learnt without words too, so that the voters are heard where
+    no word is known.
+    """
+    bare = np.array(sorted(n), np.int64)
+    root = np.sqrt([n[p] for p in bare.tolist()])
+    m = len(vote)
+    weight = np.r_[np.ones(k), np.full(m - k, UNLABELLED_WEIGHT / max(1, m - k)), WORDLESS_WEIGHT * root / root.sum()]
+    texts, vote = texts + [""] * len(bare), np.r_[vote, bare]
+    trainer = Trainer(texts, vote, np.r_[bags.bag, len(bags.said) + np.arange(len(vote) - k)], weight)
+    own = model.posterior(vote)
+    y = own.copy()
+    y[:k] = bags.posterior(own[:k])
+    trainer.steps(y, 80)
+    for _ in range(10 if k else 0):  # what a label says of a document settles on the segments that the words give away
+        y[:k] = bags.posterior(_sigmoid(trainer.odds()[:k]))
+        trainer.steps(y, 30)
+    return trainer.classifier()
+
+
+def score_voted(voted: DataFrame, classifier: Classifier) -> DataFrame:
+    """(doc_id, source, score, worst) of documents that have been voted on."""
+    weights, bias = classifier.w.tobytes(), classifier.bias
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, words = _classifier(weights, bias), Words()
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                part = b.slice(i, 2000)
+                lists = part.column("segments")
+                texts, vote = lists.flatten(), part.column("votes").flatten().to_numpy()
+                row = pc.list_parent_indices(lists).to_numpy()
+                hashes, start = _coded(texts, words)
+                odds = c.odds(*features(hashes, start, vote), len(vote))
+                order = np.lexsort((np.arange(len(row)), -odds, row))
+                first = order[np.r_[True, row[order][1:] != row[order][:-1]]] if len(row) else order
+                score, worst = np.zeros(part.num_rows), np.full(part.num_rows, -1, np.int64)
+                score[row[first]], worst[row[first]] = _sigmoid(odds[first]), first
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("source"), pa.array(score), texts.take(pa.array(worst, mask=worst < 0))],
+                    ["doc_id", "source", "score", "worst"],
+                )
+
+    return voted.mapInArrow(run, "doc_id bigint, source string, score double, worst string")
 
-def fit(documents: DataFrame) -> tuple[LabelModel, Classifier]:
-    """The label model of all documents' votes and the classifier trained on its posteriors.
 
-    The driver gets the distinct vote patterns with their counts and at most
-    ``SAMPLE_A_PATTERN`` different segments a pattern, however large the corpus.
-    """
-    texts = documents.select("text").where(F.col("text").isNotNull())
-    found = materialize(spread(texts).mapInArrow(_survey, "pattern string, n bigint, h bigint, segment string"), "votes")
-    counts = found.where("n IS NOT NULL").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    model = LabelModel({r["pattern"]: r["n"] for r in counts})
-    w = Window.partitionBy("pattern").orderBy("h", "segment")
-    sample = (
-        found.where("segment IS NOT NULL")
-        .select("pattern", "h", "segment")
-        .distinct()
-        .withColumn("k", F.row_number().over(w))
-        .where(F.col("k") <= SAMPLE_A_PATTERN)
-        .select("pattern", "segment")
-        .orderBy("pattern", "segment")
-        .collect()
-    )
-    held = Counter(r["pattern"] for r in sample)
-    n = {r["pattern"]: r["n"] for r in counts}
-    # the square root keeps the harmless mass from drowning the rest
-    rows = [
-        (r["segment"], r["pattern"], float(model.posterior[r["pattern"]]), n[r["pattern"]] ** 0.5 / held[r["pattern"]])
-        for r in sample
-    ]
-    return model, Classifier(rows)
+@lru_cache(maxsize=2)
+def _classifier(weights: bytes, bias: float) -> Classifier:
+    return Classifier(np.frombuffer(weights, np.float32), bias)
 
 
-def score_documents(documents: DataFrame, classifier: Classifier | None = None) -> DataFrame:
-    """(doc_id, source, score, worst): every document with the score and text of its worst segment.
+def score_documents(documents: DataFrame, labels: DataFrame | None = None, classifier: Classifier | None = None) -> DataFrame:
+    """(doc_id, source, score, worst): every document with the score and plain words of its worst segment.
 
     Null, empty and blank texts score 0 with a null segment.  Texts are read whole.
-    Repeated rows give repeated results.  Without a classifier one is fitted first.
+    Repeated rows give repeated results.  Without a classifier one is fitted first, on
+    the documents themselves and, where given, on hand labels (doc_id, toxic).
     """
-    classifier = classifier or fit(documents)[1]
-    weights = classifier.w.tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _classifier(weights)
-        for b in batches:
-            scores, worst = [], []
-            for text in b.column("text").to_pylist():
-                best, where = 0.0, None
-                for segment, veiled in plain(text or ""):
-                    s = c.score(segment, votes(segment, veiled))
-                    if s > best:
-                        best, where = s, segment
-                scores.append(best)
-                worst.append(where)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("source"), pa.array(scores, pa.float64()), pa.array(worst, pa.string())],
-                ["doc_id", "source", "score", "worst"],
-            )
-
-    return spread(documents.select("doc_id", "source", "text")).mapInArrow(
-        run, "doc_id bigint, source string, score double, worst string"
+    voted = vote_documents(documents)
+    return score_voted(voted, classifier or fit(voted, labels)[1])
+
+
+def held_out_accuracy(scored: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(documents, labelled_abusive, flagged, both, precision, recall) over the labels that fitting never sees; torn labels are left out."""
+    said = said_of(labels.where(held_out())).where("said != 0.5")
+    bad, hit = F.col("said") > 0.5, F.col("score") >= threshold
+    return (
+        scored.groupBy("doc_id").agg(F.max("score").alias("score")).join(said, "doc_id")
+        .agg(F.count(F.lit(1)).alias("documents"), F.count_if(bad).alias("labelled_abusive"), F.count_if(hit).alias("flagged"), F.count_if(bad & hit).alias("both"))
+        .withColumns({"precision": F.col("both") / F.nullif("flagged", F.lit(0)), "recall": F.col("both") / F.nullif("labelled_abusive", F.lit(0))})
     )
 
 
-@lru_cache(maxsize=2)
-def _classifier(weights: bytes) -> Classifier:
-    c = Classifier([])
-    c.w = np.frombuffer(weights, np.float32)
-    return c
-
-
 def rates(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(source, n_documents, n_flagged, rate, mean_score); documents without source are one group."""
     return scored.groupBy("source").agg(
