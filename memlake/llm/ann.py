@@ -2,12 +2,12 @@
 
 1. Exact copies of a vector are one node (by a 128-bit hash), so a vector that a third
    of all rows repeat is indexed once; the copies come back when results are merged.
-2. Each node goes to the shards of its nearest pivots, the first and those within a
-   margin of it (``SHARDS_AT_MOST`` at most).  Pivots are a bounded sample of the
-   vectors, about the square root of their number, so that shards grow slowly.  A shard
-   that the sample shows to be too large is split; each part is then asked by all.
-3. Each shard builds one graph (``memlake.llm.hnsw``) and is then asked for every node,
-   the indexed ones too; what insertion saw is added, and the k best of a node kept.
+2. Each node goes to the shards of its nearest pivots: the first and those within a
+   margin of it, ``SHARDS_AT_MOST`` at most.  Pivots are a sample of the vectors, one for
+   every so many, so shards keep their size however many vectors there are, and a dense
+   region gets pivots in proportion.  Many pivots are searched through a tree of pivots.
+3. Each shard builds one graph (``memlake.llm.hnsw``) and is then asked for every node
+   in it; what insertion saw is added, and the k best of a node kept.
 4. The directed results of all shards are merged, ranked and cut to the k best.
 
 Every usable vector is indexed and asked.  The margin, the beam and the number of
@@ -21,19 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.hnsw import Graph
 
-#: Pivots of a kind: a quarter of the square root of its vectors, within these bounds.
-PIVOTS_AT_LEAST, PIVOTS_AT_MOST = 64, 2048
-#: Vectors sampled for each pivot, to estimate how large shards get.
-SAMPLE_A_PIVOT = 8
-#: A kind with fewer vectors is one shard; a shard estimated larger than this is split.
-ONE_SHARD, SHARD_ROWS = 3000, 30_000
+#: Rows aimed at in a shard (with ``COPIES`` shards a vector), and the bounds of the sample that gives the pivots: with the
+#: most, shards keep their size up to 1.7 billion vectors a kind and grow in proportion beyond.
+SHARD_ROWS, COPIES, PIVOTS_AT_LEAST, PIVOTS_AT_MOST = 20_000, 3, 16, 1 << 18
+#: A kind with fewer vectors is one shard.
+ONE_SHARD = 3000
 #: A vector also joins shards whose pivot is nearly as similar as its best: within MARGIN / sqrt(dimension).
 MARGIN, SHARDS_AT_MOST = 0.6, 4
+#: More pivots than this are searched from above: each node of the tree has about FANOUT below it, WAYS are followed.
+FLAT, FANOUT, WAYS = 1024, 64, 32
 LINKS, BEAM = 8, 20
 #: Beams with which the finished graph is asked: the next is for nodes whose wanted ones fill half of the one before.
 ASK = (32, 64, 256)
@@ -71,32 +73,62 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def pivots_of(count: int) -> int:
-    return max(PIVOTS_AT_LEAST, min(PIVOTS_AT_MOST, math.isqrt(count) // 4)) if count >= ONE_SHARD else 1
+    return max(PIVOTS_AT_LEAST, min(PIVOTS_AT_MOST, -(-COPIES * count // SHARD_ROWS))) if count >= ONE_SHARD else 1
+
+
+class Pivots:
+    """The pivots nearest to vectors; many are searched through a smaller set of them, which knows which are near."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.above = self.below = None
+        if len(x) > FLAT:
+            self.above = Pivots(x[: -(-len(x) // FANOUT)])
+            _, owner, _ = self.above.near(x, 1)
+            order = np.argsort(owner, kind="stable")
+            self.below = np.split(order, np.searchsorted(owner[order], np.arange(1, len(self.above.x))))
+
+    def near(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, pivot, similarity) of up to the ``k`` nearest pivots of each query, ordered by query."""
+        if self.above is None:
+            sims = q @ self.x.T
+            k = min(k, sims.shape[1])
+            top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            return np.repeat(np.arange(len(q)), k), top.ravel(), np.take_along_axis(sims, top, 1).ravel()
+        rows, ways, _ = self.above.near(q, WAYS)
+        order = np.argsort(ways, kind="stable")
+        starts = np.flatnonzero(np.r_[True, ways[order][1:] != ways[order][:-1]])
+        found = []
+        for at in np.split(order, starts[1:]):
+            below = self.below[ways[at[0]]]
+            if len(below):
+                sims = q[rows[at]] @ self.x[below].T
+                n = min(k, len(below))
+                top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+                found.append((np.repeat(rows[at], n), below[top].ravel(), np.take_along_axis(sims, top, 1).ravel()))
+        r, p, s = (np.concatenate(f) for f in zip(*found))
+        order = np.lexsort((p, -s, r))
+        r, p, s = r[order], p[order], s[order]
+        best = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return r[best], p[best], s[best]
 
 
 class Routing:
-    """Pivots of one space and the number of parts that each shard has."""
+    """The shards of one space: one a pivot."""
 
     def __init__(self, count: int, sample: np.ndarray):
-        p = pivots_of(count)
         sample = sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])] if len(sample) else sample
-        self.pivots = sample[:p]
-        self.parts = np.ones(max(1, len(self.pivots)), int)
-        if len(self.pivots):
-            _, shard = self.shards(sample)
-            share = np.bincount(shard, minlength=len(self.pivots)) / len(sample)
-            self.parts = np.maximum(1, np.ceil(share * count / SHARD_ROWS)).astype(int)
+        self.pivots = Pivots(sample[: pivots_of(count)])
 
     def shards(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, shard) pairs."""
-        if len(self.pivots) < 2:
+        """(row, shard) pairs, at most ``SHARDS_AT_MOST`` a row."""
+        if len(self.pivots.x) < 2:
             return np.arange(len(x)), np.zeros(len(x), int)
-        near = x @ self.pivots.T
-        k = min(SHARDS_AT_MOST, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        value = np.take_along_axis(near, top, 1)
-        r, c = np.nonzero(value >= value.max(1, keepdims=True) - MARGIN / math.sqrt(x.shape[1]))
-        return r, top[r, c]
+        r, shard, value = self.pivots.near(x, SHARDS_AT_MOST)
+        best = np.full(len(x), -2.0, np.float32)
+        np.maximum.at(best, r, value)
+        near = value >= best[r] - MARGIN / math.sqrt(x.shape[1])
+        return r[near], shard[near]
 
 
 def plan_routing(signatures: DataFrame) -> dict[str, Routing]:
@@ -104,21 +136,20 @@ def plan_routing(signatures: DataFrame) -> dict[str, Routing]:
     space = F.concat_ws("/", "kind", F.col("dim").cast("string"))
     known = signatures.where("kind IS NOT NULL AND dim > 0 AND sig_id IS NOT NULL")
     counts = {r["space"]: r["n"] for r in known.groupBy(space.alias("space")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {s: pivots_of(n) * SAMPLE_A_PIVOT for s, n in counts.items() if n >= ONE_SHARD}
-    samples: dict[str, list] = {s: [] for s in counts}
+    # some more than needed, as the draw is by hash and copies and unusable vectors drop out
+    wanted = {s: pivots_of(n) * 1.25 + 64 for s, n in counts.items() if n >= ONE_SHARD}
+    out = {s: Routing(n, np.zeros((0, 1), np.float32)) for s, n in counts.items()}
     if wanted:
         grain = 1 << 30
         limit = F.lit(0)
         for s, n in wanted.items():
             limit = F.when(space == s, F.lit(int(min(1.0, n / counts[s]) * grain))).otherwise(limit)
-        # the draw is by hash, so its size varies by a few percent at most; it comes first, the vectors' checks after
         drawn = usable(known.where(F.pmod(F.xxhash64("sig_id"), F.lit(grain)) < limit))
-        for r in drawn.select("space", "vid", "vec").orderBy("space", "vid").toLocalIterator():
-            samples[r["space"]].append(r["vec"])
-    out = {}
-    for s, n in counts.items():
-        x = _matrix(pa.array(samples[s], pa.list_(pa.float32()))) if samples[s] else np.zeros((0, 1), np.float32)
-        out[s] = Routing(n, x)
+        table = drawn.select("space", "vid", "vec").toArrow().combine_chunks()
+        for s in wanted:
+            own = table.filter(pc.equal(table["space"], s)).sort_by("vid")
+            if len(own):
+                out[s] = Routing(counts[s], _matrix(own["vec"].combine_chunks()))
     return out
 
 
@@ -135,35 +166,27 @@ def _route(routing: dict[str, Routing]):
             for space, rows in by.items():
                 at = pa.array(rows)
                 x = _matrix(b.column("vec").take(at))
-                ids = b.column("vid").take(at)
-                way = routing[space]
-                r, shard = way.shards(x)
-                parts = way.parts[shard]
-                own = np.array([int.from_bytes(v[-4:]) for v in ids.to_pylist()])[r] % parts
-                again = np.repeat(np.arange(len(r)), parts)
-                part = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
-                rows_ = r[again]
+                r, shard = routing[space].shards(x)
                 size = x.shape[1] * 2
                 raw = np.rint(x * GRAIN).astype(np.int16).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([space] * len(again), pa.string()),
-                        pa.array((shard[again] * 4096 + part).astype(np.int64)),
-                        pa.array(part == own[again]),
-                        ids.take(pa.array(rows_)),
-                        pa.array([raw[i * size : (i + 1) * size] for i in rows_.tolist()], pa.binary()),
+                        pa.array([space] * len(r), pa.string()),
+                        pa.array(shard.astype(np.int64)),
+                        b.column("vid").take(at).take(pa.array(r)),
+                        pa.array([raw[i * size : (i + 1) * size] for i in r.tolist()], pa.binary()),
                     ],
-                    ["space", "shard", "indexed", "vid", "unit"],
+                    ["space", "shard", "vid", "unit"],
                 )
 
     return run
 
 
-def _ask(graph: Graph, q: np.ndarray, least: float, start: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """(query, row, similarity) found in the finished graph, with a wide beam where many are wanted."""
+def _ask(graph: Graph, q: np.ndarray, least: float, start: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, row, similarity) found in the finished graph from ``start``, with a wide beam where many are wanted."""
     rows = np.arange(len(q))
     for ef in ASK:
-        ids, sims = graph.search(q[rows], ef, None if start is None else start[rows])
+        ids, sims = graph.search(q[rows], ef, start[rows])
         wanted = (sims >= least) & (ids >= 0)
         crowded = wanted.sum(1) * 2 >= ef
         r, c = np.nonzero(wanted & (~crowded[:, None] | (ef == ASK[-1])))
@@ -195,18 +218,12 @@ def _search(least: float, k: int):
         raw = b"".join(table["unit"].to_pylist())
         x = np.frombuffer(raw, np.int16).reshape(len(table), -1).astype(np.float32)
         x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-        indexed = table["indexed"].to_numpy(zero_copy_only=False)
-        inside, outside = np.flatnonzero(indexed), np.flatnonzero(~indexed)
-        graph = Graph(x[inside], m=LINKS, ef=BEAM)
-        found = [(inside[a], inside[b], s) for a, b, s in graph.insert_all(least)]
-        for i in range(0, len(inside), 512):
-            start = np.arange(i, min(i + 512, len(inside)))
+        graph = Graph(x, m=LINKS, ef=BEAM)
+        found = list(graph.insert_all(least))
+        for i in range(0, len(x), 512):
+            start = np.arange(i, min(i + 512, len(x)))
             for q, ids, sims in _ask(graph, graph.x[start], least, start):
-                found.append((inside[graph.order[start[q]]], inside[ids], sims))
-        for i in range(0, len(outside), 512):
-            at = outside[i : i + 512]
-            for q, ids, sims in _ask(graph, x[at], least):
-                found.append((at[q], inside[ids], sims))
+                found.append((graph.order[start[q]], ids, sims))
         a, b, s = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((int, int, np.float32)))
         a, b, s = _keep(a, b, s, k)
         vid, space = table["vid"].combine_chunks(), table["space"][0].as_py()
@@ -228,7 +245,7 @@ def similar_nodes(signatures: DataFrame, vectors: DataFrame, floor: float, k: in
     if not routing:
         return vectors.sparkSession.createDataFrame([], "space string, a binary, b binary, similarity float")
     routed = vectors.select("space", "vid", "vec").mapInArrow(
-        _route(routing), "space string, shard bigint, indexed boolean, vid binary, unit binary"
+        _route(routing), "space string, shard bigint, vid binary, unit binary"
     )
     found = routed.groupBy("space", "shard").applyInArrow(
         _search(floor, k), "space string, a binary, b binary, similarity float"

@@ -98,7 +98,7 @@ class Graph:
         self.x, self.m, self.ef, self.batch = np.ascontiguousarray(x, np.float32), m, ef, batch
         n = len(x)
         draw = np.random.default_rng(seed).random(n)
-        level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(m)).astype(int), 6)
+        level = (-np.log(np.maximum(draw, 1e-12)) / np.log(m)).astype(int)
         # rows of high layers come first, so that the layers above are there when the bottom fills
         self.order = np.argsort(-level, kind="stable")
         self.level = level[self.order]
@@ -178,7 +178,10 @@ class Graph:
         np.add.at(layer.degree, to[fits], 1)
         if fits.all():
             return
+        # what doesn't fit is chosen anew, among the links there are and the most similar of the others
         over, extra = to[~fits], new[~fits]
+        order = np.lexsort((-np.einsum("ij,ij->i", self.x[over], self.x[extra]), over))
+        over, extra = over[order], extra[order]
         rows, at = np.unique(over, return_inverse=True)
         k = np.arange(len(over)) - np.searchsorted(over, over)
         wide = min(int(k.max()) + 1, 64)

@@ -55,9 +55,11 @@ def test_recall_over_many_shards(spark, monkeypatch):
     assert len(got & want) / len(want) >= 0.95 and len(got - want) <= 0.05 * len(want)
 
 
-def test_hot_shards_are_split_and_asked_by_all(spark, monkeypatch):
+def test_recall_over_small_shards(spark, monkeypatch):
     monkeypatch.setattr(ann, "ONE_SHARD", 200)
     monkeypatch.setattr(ann, "SHARD_ROWS", 60)
+    monkeypatch.setattr(ann, "FLAT", 16)
+    monkeypatch.setattr(ann, "FANOUT", 8)
     x = clustered(1200, 32, 3)
     df = spark.createDataFrame([(f"sig_{i:05d}", "e", "face", 32, v.tolist(), 0.0) for i, v in enumerate(x)], SIG)
     got = {(int(a[4:]), int(b[4:])) for a, b in (tuple(r) for r in similar_pairs(df).collect())}
@@ -65,6 +67,25 @@ def test_hot_shards_are_split_and_asked_by_all(spark, monkeypatch):
     assert len(got & want) / len(want) >= 0.95
 
 
+def test_routing_of_a_billion(monkeypatch):
+    assert ann.pivots_of(10**9) == 150_000 and ann.pivots_of(10**9) * ann.SHARD_ROWS >= 10**9 * ann.COPIES
+    x = clustered(60_000, 32, 11, size=12)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hot = u[0] + 0.02 * np.random.default_rng(1).standard_normal((30_000, 32)).astype(np.float32)  # a third of all rows, nearly alike
+    u = np.random.default_rng(2).permutation(np.concatenate([u, hot / np.linalg.norm(hot, axis=1, keepdims=True)]))
+    monkeypatch.setattr(ann, "pivots_of", lambda n: 6000)
+    way = ann.Routing(len(u), u[:7000])
+    assert way.pivots.above is not None and len(way.pivots.x) == 6000
+    q = u[20_000:50_000]
+    r, shard = way.shards(q)
+    copies = np.bincount(r, minlength=len(q))
+    assert copies.min() >= 1 and copies.max() <= ann.SHARDS_AT_MOST
+    size = np.bincount(shard, minlength=6000)
+    assert size.max() <= 60 * size.mean()
+    best = np.concatenate([(q[i : i + 500] @ way.pivots.x.T).argmax(1) for i in range(0, 5000, 500)])
+    assert np.mean([b in set(shard[r == i].tolist()) for i, b in enumerate(best.tolist())]) >= 0.95
+
+
 def test_dirt_copies_ties_and_kinds(spark):
     nan, one = float("nan"), [1.0, 0.0, 0.0]
     rows = [
