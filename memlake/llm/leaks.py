@@ -1,7 +1,7 @@
 """Evaluation texts in training text, by a generalised suffix automaton of the test items.
 
-The automaton (over words) holds every passage of every item in space linear in the
-items.  Each document streams through it once; the state and the length of the longest
+The states and edges of the automaton (over words) are linear in the items; beside them
+each state lists the items that share it.  Each document streams through it once; the state and the length of the longest
 passage that ends at the current word are all that is kept.
 """
 

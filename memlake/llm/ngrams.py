@@ -2,7 +2,7 @@
 
 1. Equal records collapse to one with a weight, so a value that a third of all rows
    repeat is one record.
-2. Each record yields its suffixes (term sequences of at most ``max_n`` terms).  In the
+2. Each record yields its suffixes (term sequences, whole unless ``max_n`` cuts them).  In the
    record's own suffix order, the common prefix of a suffix with the one before it is
    what the record has already shown: n-grams no longer than that are duplicates within
    the record.  This depth travels with the suffix, so record counts need no second look.
@@ -11,6 +11,9 @@
    the duplicates, the records of all n-grams in it.
 4. Counts are sums, so an n-gram whose interval crosses a range border is simply the sum
    of its parts; one aggregation joins them.
+
+A record of L different terms has about L * L / 2 n-grams, and all of them are counted: without
+``max_n`` the result of long texts grows with the square of their length.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest n-gram counted; suffixes are cut there, which leaves all shorter counts exact.
-MAX_N = 32
+#: Suffixes are handed on in batches of about so many characters.
+BATCH_CHARS = 4_000_000
 
 _TERM = re.compile(r"[^\W_]+")
 #: Parts the terms of a suffix; sorts before every term character.
@@ -35,9 +38,9 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-def record_suffixes(words: list[str], max_n: int) -> list[tuple[str, int]]:
+def record_suffixes(words: list[str], max_n: int | None = None) -> list[tuple[str, int]]:
     """(suffix, depth): n-grams at its start no longer than depth stand elsewhere in the record too."""
-    order = sorted((words[i : i + max_n] for i in range(len(words))))
+    order = sorted(words[i : None if max_n is None else i + max_n] for i in range(len(words)))
     out, before = [], []
     for s in order:
         depth = 0
@@ -50,11 +53,11 @@ def record_suffixes(words: list[str], max_n: int) -> list[tuple[str, int]]:
     return out
 
 
-def _split(max_n: int):
+def _split(max_n: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             weights = b.column("w").to_pylist()
-            suffix, depth, weight = [], [], []
+            suffix, depth, weight, held = [], [], [], 0
 
             def flush():
                 return pa.RecordBatch.from_arrays(
@@ -67,29 +70,33 @@ def _split(max_n: int):
                     suffix.append(s)
                     depth.append(d)
                     weight.append(w)
-                if len(suffix) > 50_000:
-                    yield flush()
-                    suffix, depth, weight = [], [], []
+                    held += len(s) + 16
+                    if held > BATCH_CHARS:
+                        yield flush()
+                        suffix, depth, weight, held = [], [], [], 0
             yield flush()
 
     return run
 
 
-def _intervals(max_n: int):
+def _intervals():
     """Sorted (suffix, depth, w) -> (ngram, n, occurrences, records), in parts at range borders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ngram, size, occ, rec = [], [], [], []
+        held = 0
         words: list[str] = []  # the current suffix; entry k of the stacks is the interval of its first k + 1 terms
         seen: list[int] = []
         fresh: list[int] = []
 
         def close(to: int) -> None:
             """Close the intervals longer than ``to`` terms and hand their sums to the shorter ones."""
+            nonlocal held
             while len(words) > to:
                 k = len(words)
                 n, m = seen.pop(), fresh.pop()
                 ngram.append(_SEP.join(words))
+                held += len(ngram[-1]) + 32
                 size.append(k)
                 occ.append(n)
                 rec.append(n - m)
@@ -126,9 +133,9 @@ def _intervals(max_n: int):
                 seen[-1] += w
                 if d:
                     fresh[d - 1] += w
-            if len(ngram) > 50_000:
-                yield flush()
-                ngram, size, occ, rec = [], [], [], []
+                if held > BATCH_CHARS:
+                    yield flush()
+                    ngram, size, occ, rec, held = [], [], [], [], 0
         close(0)
         yield flush()
 
@@ -144,8 +151,8 @@ def term_records(observations: DataFrame, column: str = "predicate") -> DataFram
     )
 
 
-def ngram_counts(records: DataFrame, max_n: int = MAX_N) -> DataFrame:
-    """(ngram, n, occurrences, records) of all n-grams of at most ``max_n`` terms.
+def ngram_counts(records: DataFrame, max_n: int | None = None) -> DataFrame:
+    """(ngram, n, occurrences, records) of all n-grams, or of those of at most ``max_n`` terms.
 
     ``records`` has ``value`` and weight ``w``.  Null, empty and term-less values give
     nothing; an empty table gives no rows; a value given twice counts with both weights.
@@ -160,7 +167,7 @@ def ngram_counts(records: DataFrame, max_n: int = MAX_N) -> DataFrame:
     return (
         suffixes.repartitionByRange("suffix", "depth")
         .sortWithinPartitions("suffix", "depth")
-        .mapInArrow(_intervals(max_n), "ngram string, n int, occurrences bigint, records bigint")
+        .mapInArrow(_intervals(), "ngram string, n int, occurrences bigint, records bigint")
         .groupBy("ngram", "n")
         .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     )

@@ -9,6 +9,7 @@ from memlake.llm import ann, bpe, leaks, toxicity
 from memlake.llm.components import merge_groups
 from memlake.llm.ngrams import ngram_counts, term_records, with_mark
 from memlake.llm.runs import collapse_runs
+from memlake.scratch import materialize
 from memlake.sources.tables import load
 
 
@@ -36,7 +37,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _p7(spark: SparkSession, folder: str) -> DataFrame:
-    records = term_records(load(spark, folder, "observations"))
+    records = materialize(term_records(load(spark, folder, "observations")), "terms")  # read twice below
     return with_mark(ngram_counts(records), records)
 
 
@@ -147,6 +148,30 @@ m AS (SELECT *, CASE WHEN records < 5 THEN 'rare'
                      WHEN records > 0.1 * (SELECT count(*) FROM r WHERE len(t) > 0) THEN 'common' END AS mark FROM c)
 SELECT {{what}} FROM m {{where}}"""
 
+_VECTORS = """
+WITH u AS (SELECT sig_id, kind, dim, CAST(any_value(vec) AS DOUBLE[]) AS v FROM signatures
+           WHERE len(vec) = dim AND dim > 0 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+             AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY 1, 2, 3),
+p AS (SELECT a.sig_id AS a, b.sig_id AS b, list_cosine_similarity(a.v, b.v) AS s
+      FROM u a JOIN u b ON a.kind = b.kind AND a.dim = b.dim AND a.sig_id <> b.sig_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM p WHERE s >= 0.8)
+"""
+
+#: The words of a text.  Of the compatibility forms DuckDB can only be told the full-width ones, so documents with others may differ.
+_PLAIN = """regexp_extract_all(lower(translate(regexp_replace(text, '[\\x{00AD}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]', '', 'g'),
+  (SELECT string_agg(chr(CAST(65248 + i AS INT)), '' ORDER BY i) FROM range(33, 127) t(i)), (SELECT string_agg(chr(CAST(i AS INT)), '' ORDER BY i) FROM range(33, 127) t(i)))),
+  '[\\p{L}\\p{N}]+')"""
+_LEAKS = f"""
+WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_PLAIN} AS w FROM eval_items WHERE text IS NOT NULL),
+iw AS (SELECT item_id, w, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
+ig AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM iw)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dg AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS g
+       FROM (SELECT *, unnest(range(1, CAST(len(w) AS BIGINT) - n + 2)) AS k FROM d CROSS JOIN sizes WHERE len(w) >= n)),
+f AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g))
+"""
+
 ORACLE = {
     "p1_found": _RUNS.format(more="", having="HAVING count(*) >= 2"),
     "p1_runs": _RUNS.format(
@@ -163,6 +188,26 @@ b AS (SELECT a AS u, b AS v FROM e WHERE b <> '' AND a <> b UNION SELECT b, a FR
 r AS (SELECT u AS id, u AS g FROM b UNION SELECT b.u, r.g FROM r JOIN b ON b.v = r.id)
 SELECT id AS entity_id, min(g) AS group_id FROM r GROUP BY id""",
     "p7_found": _TERMS.format(what="term, mark", where="WHERE mark IS NOT NULL"),
+    "p2_found": _VECTORS + "SELECT DISTINCT least(a, b) AS sig_id_a, greatest(a, b) AS sig_id_b FROM r WHERE k <= 10",
+    "p7_ngrams": f"""
+WITH {_ONCE},
+v AS (SELECT predicate, regexp_extract_all(lower(predicate), '[\\p{{L}}\\p{{N}}]+') AS t, count(*) AS w FROM o
+      WHERE predicate IS NOT NULL GROUP BY predicate),
+i AS (SELECT *, unnest(range(1, CAST(len(t) AS BIGINT) + 1)) AS i FROM v),
+g AS (SELECT *, unnest(range(1, CAST(len(t) AS BIGINT) - i + 2)) AS n FROM i),
+c AS (SELECT predicate, w, n, array_to_string(t[i:i + n - 1], ' ') AS ngram, count(*) AS c FROM g GROUP BY 1, 2, 3, 4),
+m AS (SELECT ngram, CAST(n AS INT) AS n, CAST(sum(c * w) AS BIGINT) AS occurrences, CAST(sum(w) AS BIGINT) AS records FROM c GROUP BY 1, 2)
+SELECT *, CASE WHEN records < 5 THEN 'rare'
+               WHEN records > 0.1 * (SELECT sum(w) FROM v WHERE len(t) > 0) THEN 'common' END AS mark FROM m""",
+    "p9_found": _LEAKS + "SELECT doc_id, item_id FROM f",
+    "p9_leaked_items": _LEAKS
+    + """,
+x AS (SELECT doc_id, item_id, unnest(d.w) AS word, unnest(range(len(d.w))) AS p FROM f JOIN d USING (doc_id)),
+y AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS q FROM iw),
+z AS (SELECT DISTINCT doc_id, item_id, p, p - q AS diagonal FROM x JOIN y USING (item_id, word)),
+s AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS island FROM z),
+l AS (SELECT doc_id, item_id, diagonal, island, count(*) AS n FROM s GROUP BY 1, 2, 3, 4)
+SELECT item_id, count(DISTINCT doc_id) AS n_documents, CAST(max(n) AS INT) AS longest FROM l GROUP BY 1""",
     "p7_terms": _TERMS.format(what="term, occurrences, records, mark", where=""),
     "p7_values": f"""
 WITH {_ONCE},

@@ -132,6 +132,18 @@ def test_ngrams_equal_brute_force(spark, max_n):
     assert ngram_counts(df.limit(0)).count() == 0
 
 
+def test_ngrams_of_long_records_are_all_counted(spark, monkeypatch):
+    from memlake.llm import ngrams
+
+    monkeypatch.setattr(ngrams, "BATCH_CHARS", 10_000)
+    rng = random.Random(9)
+    words = [rng.choice("abcdef") for _ in range(260)]
+    values = [(" ".join(words[i : i + 200]), i + 1) for i in (0, 30, 60)] + [(" ".join(["x"] * 200), 3), ("x x", 2)]
+    got = ngram_counts(spark.createDataFrame(values, "value string, w bigint")).collect()
+    want = brute_counts(values, 200)
+    assert len(got) == len(want) and {r.ngram: (r.occurrences, r.records) for r in got} == want and max(r.n for r in got) == 200
+
+
 def test_marks(observations):
     rows = [{"observation_id": str(i), "predicate": p} for i, p in enumerate(["door open"] * 30 + ["lone"] * 4 + ["five"] * 5 + [None, "!!"])] * 2
     records = term_records(observations(rows, ("w", "value", "_id")))
