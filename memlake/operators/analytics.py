@@ -162,18 +162,48 @@ def chat_kpis(conversations: DataFrame, turns: DataFrame, user_id: str | None =
     )
 
 
-def conversation_list(conversations: DataFrame, turns: DataFrame, user_id: str | None = None, limit: int = 200) -> DataFrame:
-    """Threads with their number of turns, the latest changed first; without a user all are listed."""
+def conversation_list(conversations: DataFrame, turns: DataFrame, user_id: str | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
+    """Threads with their number of turns, the latest changed first, from ``offset`` on; without a user all are listed."""
     owned = conversations if user_id is None else conversations.where(F.col("user_id") == user_id)
     counted = turns.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_turns"), F.max("asked_at").alias("last_asked"))
     return (
         owned.join(counted, "conversation_id", "left")
         .withColumn("n_turns", F.coalesce("n_turns", F.lit(0)))
         .orderBy(F.desc("updated_at"), "conversation_id")
+        .offset(offset)
         .limit(limit)
     )
 
 
+def turns_of(turns: DataFrame, conversation_id: str) -> DataFrame:
+    """A thread's turns in the order in which they were asked."""
+    return turns.where(F.col("conversation_id") == conversation_id).orderBy("asked_at", "seq", "turn_id")
+
+
+def answer_counts(rows: DataFrame) -> DataFrame:
+    """One row of what an answer's rows hold: subjects, observations, pictures and rule events."""
+    return rows.agg(
+        F.count_distinct("subject_entity_id").alias("n_entities"),
+        F.count(F.lit(1)).alias("n_observations"),
+        F.count_distinct("source_ref").alias("n_keyframes"),
+        F.count_if(F.col("predicate").startswith("rule_fired:")).alias("n_rule_events"),
+    )
+
+
+def case_list(cases: DataFrame, items: DataFrame, status: str | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
+    """Cases with the number of their items, in all and by kind, the latest changed first."""
+    kinds = ("entity", "alert", "event")
+    counted = items.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_items"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds))
+    shown = cases if status is None else cases.where(F.col("status") == status)
+    shown = shown.join(counted, "case_id", "left").fillna(0, ["n_items", *(f"n_{k}" for k in kinds)])
+    return shown.orderBy(F.desc("updated_at"), "case_id").offset(offset).limit(limit)
+
+
+def report_list(reports: DataFrame, limit: int = 200, offset: int = 0) -> DataFrame:
+    """Stored reports without their bodies, the newest first."""
+    return reports.drop("body").orderBy(F.desc("created_at"), "report_id").offset(offset).limit(limit)
+
+
 def zone_centres(locations: DataFrame) -> DataFrame:
     """(location_id, zone_name, zone_camera, cx, cy): the mean of each polygon's corners."""
     n = F.size("polygon")

@@ -73,6 +73,7 @@ def coalesce_edges(relations: DataFrame) -> DataFrame:
         F.min_by("relation_id", first).alias("relation_id"),
         F.least(F.lit(1.0), F.sum("weight")).alias("weight"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("supporting_observation_ids")))).alias("supporting_observation_ids"),
+        F.sum("n_evidence").alias("n_evidence"),
         F.max("last_reinforced_at").alias("last_reinforced_at"),
         F.min("created_at").alias("created_at"),
         F.max_by("status", "weight").alias("status"),
@@ -142,30 +143,47 @@ def cascade_delete(tables: dict[str, DataFrame], entity_id: str) -> tuple[dict[s
     return out, total
 
 
-def least_labels(pairs: DataFrame, most: int = 50) -> DataFrame:
-    """(id, root): the least id that each linked id reaches, by spreading the least label until nothing changes.
+def least_labels(pairs: DataFrame, most: int = 60) -> DataFrame:
+    """(id, root): the least id that each linked id reaches.
 
-    For the small link sets of automatic merging; each round is a table in the shared folder.
+    Each round an id takes the least label of its neighbours' labels, passes it to the
+    id that it was labelled with, and labels are followed one step, so long chains
+    shrink by half.  Rounds end when no label changes; each is a table in the shared
+    folder.  Null ids and links of an id to itself don't count.
     """
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND x != y")
     both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     both, links = materialized(both, "merge-links")
-    labels, path = materialized(both.select(F.col("x").alias("id"), F.col("x").alias("root")).distinct(), "merge-labels")
+    labels, path = materialized(both.groupBy(F.col("x").alias("id")).agg(F.least("id", F.min("y")).alias("root")), "merge-labels")
+    before = None
     for _ in range(most):
-        heard = both.join(labels, F.col("y") == F.col("id")).groupBy(F.col("x").alias("id")).agg(F.min("root").alias("heard"))
-        step = labels.join(heard, "id").select("id", F.least("root", "heard").alias("root"), (F.col("heard") < F.col("root")).alias("moved"))
-        # jump: the label's own label, so that chains halve each round
-        jump = step.select(F.col("id").alias("root"), F.col("root").alias("_r"))
-        step = step.join(jump, "root", "left").select("id", F.least("root", F.coalesce("_r", "root")).alias("root"), "moved")
-        fresh, new = materialized(step, "merge-labels")
-        done = fresh.where("moved").isEmpty()
-        remove(pairs.sparkSession, path)
-        labels, path = fresh.select("id", "root"), new
-        if done:
+        now = labels.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "root").cast("decimal(38,0)"))).first()
+        if now == before:
+            remove(pairs.sparkSession, links)
             return labels
+        before = now
+        followed = labels.join(labels.select(F.col("id").alias("root"), F.col("root").alias("g")), "root")
+        heard = both.join(followed.select(F.col("id").alias("y"), "g"), "y").groupBy(F.col("x").alias("id")).agg(F.min("g").alias("heard"))
+        told = followed.join(heard, "id").select(
+            F.explode(F.array(F.struct("id", F.least("g", "heard").alias("root")), F.struct(F.col("root").alias("id"), F.col("heard").alias("root")))).alias("l")
+        )
+        fresh, new = materialized(told.groupBy("l.id").agg(F.min("l.root").alias("root")), "merge-labels")
+        remove(pairs.sparkSession, path)
+        labels, path = fresh, new
     raise RuntimeError("labels did not settle")
 
 
+def told_moves(entities: DataFrame) -> DataFrame:
+    """(src, dst) of the merges that the statuses tell: every id of a group moves to the group's least id.
+
+    All rows of an id count; case and white space of a status don't matter; chains and
+    circles are followed to their end, ids without a row are members too.
+    """
+    said = F.regexp_extract(F.lower("status"), r"^\s*merged_into:\s*(\S+)\s*$", 1)
+    links = entities.select(F.lower("entity_id").alias("a"), said.alias("b")).where("a IS NOT NULL AND b != '' AND a != b")
+    return least_labels(links).where("id != root").select(F.col("id").alias("src"), F.col("root").alias("dst"))
+
+
 def merge_moves(pairs: DataFrame, entities: DataFrame, observations: DataFrame) -> DataFrame:
     """(src, dst) of an automatic merge: each group keeps its labelled, else its most observed member; ties go to the least id."""
     seen = observations.groupBy(F.col("subject_entity_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n"))

@@ -175,7 +175,7 @@ def dismissed_fires(observations: DataFrame, rule: str, limit: int = 3) -> DataF
     They are counter-examples for the rule's check, oldest first.
     """
     said = observations.where(F.col("predicate").startswith("digest:dismissed:rule:"))
-    parts = F.split(F.substring("predicate", len("digest:dismissed:") + 1, 1000), ":")
+    parts = F.split(F.expr(f"substring(predicate, {len('digest:dismissed:') + 1})"), ":")
     marks = said.where(F.size(parts) == 4).select(parts[1].alias("rule"), parts[2].alias("entity_id"), parts[3].alias("at")).distinct()
     fired = observations.where((F.col("origin") == "rule") & (F.col("predicate") == f"rule_fired:{rule}") & F.col("source_ref").isNotNull())
     fired = fired.select(

@@ -13,6 +13,8 @@ from memlake.scratch import materialize
 MATCH_AT, NOVELTY_MIN, SIGNATURES_AT_MOST = 0.45, 0.10, 12
 #: A gallery block that travels to the tasks holds at most so many vectors, and a part of the probes so many.
 BLOCK, PROBES = 50_000, 20_000
+#: Signatures of a block when all pairs are looked at.
+PAIRED = 8000
 
 
 def clean(signatures: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def best_matches(probes: DataFrame, gallery: DataFrame) -> DataFrame:
         out = []
         for i in range(0, len(left), 256):
             part = left.iloc[i : i + 256]
-            sims = np.stack(part["vec"].to_numpy()).astype(np.float64) @ g.T
+            sims = np.round(np.stack(part["vec"].to_numpy()).astype(np.float64) @ g.T, 9)  # so that copies tie
             own = np.array([place.get(p, -1) for p in part["probe_id"]])
             sims[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
             at, top = sims.argmax(1), sims.max(1)
@@ -62,7 +64,7 @@ def best_matches(probes: DataFrame, gallery: DataFrame) -> DataFrame:
         return pd.concat(out)
 
     found = asks.groupBy("block", "part").cogroup(shown.groupBy("g_block", "g_part")).applyInPandas(best, "probe_id string, entity_id string, similarity double")
-    top = F.max_by(F.struct("entity_id", "similarity"), F.struct("similarity", F.expr("-hash(entity_id)")))
+    top = F.min_by(F.struct("entity_id", "similarity"), F.struct(-F.col("similarity"), "entity_id"))
     return found.groupBy("probe_id").agg(top.alias("m")).select("probe_id", "m.*")
 
 
@@ -143,11 +145,8 @@ def similar_entities(signatures: DataFrame, threshold: float) -> DataFrame:
     of active persons, not for the whole table (see the nearest-vector operator for that).
     """
     signatures = materialize(signatures.select("entity_id", "sig_id", "vec"), "gallery")  # read three times below
-    n = signatures.count()
-    parts = max(1, -(-n // 4000))
-    rows = signatures.select("entity_id", "vec", F.pmod(F.xxhash64("sig_id"), F.lit(parts)).cast("int").alias("p"))
-    blocks = [(i, j) for i in range(parts) for j in range(i, parts)]
-    plan = signatures.sparkSession.createDataFrame(blocks, "i int, j int")
+    last = F.lit(max(1, -(-signatures.count() // PAIRED)) - 1)
+    rows = signatures.select("entity_id", "vec", F.pmod(F.xxhash64("sig_id"), last + 1).cast("int").alias("p"))
 
     def pairs(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, b = np.stack(left["vec"].to_numpy()).astype(np.float64), np.stack(right["r_vec"].to_numpy()).astype(np.float64)
@@ -157,9 +156,10 @@ def similar_entities(signatures: DataFrame, threshold: float) -> DataFrame:
         out = pd.DataFrame({"a": np.minimum(x[r], y[c]), "b": np.maximum(x[r], y[c]), "similarity": s})
         return out[out["a"] != out["b"]].groupby(["a", "b"], as_index=False)["similarity"].max()
 
-    left = rows.join(F.broadcast(plan), F.col("p") == F.col("i")).select("i", "j", "entity_id", "vec")
-    right = rows.join(F.broadcast(plan), F.col("p") == F.col("j")).select(
-        *(F.col(c).alias(f"r_{c}") for c in ("i", "j", "entity_id", "vec"))
+    # block p meets the blocks from p on from the left, and those up to p from the right
+    left = rows.select(F.col("p").alias("i"), F.explode(F.sequence("p", last)).alias("j"), "entity_id", "vec")
+    right = rows.select(
+        F.explode(F.sequence(F.lit(0), "p")).alias("r_i"), F.col("p").alias("r_j"), F.col("entity_id").alias("r_entity_id"), F.col("vec").alias("r_vec")
     )
     found = left.groupBy("i", "j").cogroup(right.groupBy("r_i", "r_j")).applyInPandas(
         lambda k, x, y: pairs(k, x, y) if len(x) and len(y) else pd.DataFrame({"a": [], "b": [], "similarity": []}),
@@ -207,25 +207,26 @@ def threshold_sweep(vectors: DataFrame, thresholds=SWEEP) -> DataFrame:
     """(threshold, n_entities): how many persons an online matcher would form at each threshold.
 
     Vectors are taken in order; each joins the nearest centroid that is near enough and
-    pulls it a little, or starts a new one.  One task a threshold, for tuning on a clip.
+    pulls it three tenths of the way, or starts a new one.  One task a threshold, for
+    tuning on a clip.
     """
 
-    def count(threshold: float, batch: np.ndarray) -> int:
-        centres: list[np.ndarray] = []
+    def persons(batch: np.ndarray, threshold: float) -> int:
+        centres, n = np.zeros_like(batch), 0  # rows up to n are in use
         for v in batch:
-            sims = [float(v @ c) for c in centres]
-            at = int(np.argmax(sims)) if sims else -1
-            if at >= 0 and sims[at] >= threshold:
-                moved = 0.7 * centres[at] + 0.3 * v
-                centres[at] = moved / (np.linalg.norm(moved) or 1.0)
+            near = centres[:n] @ v
+            at = int(near.argmax()) if n else n
+            if at < n and near[at] >= threshold:
+                pulled = 0.7 * centres[at] + 0.3 * v
+                centres[at] = pulled / (np.sqrt(pulled @ pulled) or 1.0)
             else:
-                centres.append(v)
-        return len(centres)
+                centres[n], n = v, n + 1
+        return n
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vs = np.stack(pdf.sort_values("seq")["vec"].to_numpy()).astype(np.float64)
-        t = float(pdf["threshold"].iloc[0])
-        return pd.DataFrame({"threshold": [t], "n_entities": [count(t, vs)]})
+        batch = np.stack(pdf.sort_values("seq")["vec"].to_numpy()).astype(np.float64)
+        threshold = float(pdf["threshold"].iloc[0])
+        return pd.DataFrame({"threshold": [threshold], "n_entities": [persons(batch, threshold)]})
 
     each = vectors.select("seq", "vec", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
     return each.groupBy("threshold").applyInPandas(run, "threshold double, n_entities int")

@@ -1,7 +1,8 @@
 """Full-text search: postings with positions, BM25 and phrases.
 
-The index is two derived tables: postings (term, doc_id, tf, positions, dl), hashed by
-term so that a query reads its terms' rows only, and one row of corpus statistics.
+The index is two derived tables: postings (term, doc_id, tf, positions, dl) and the
+documents it holds with their lengths.  Stored (``Postings``), the former lies in
+folders by hash of the term, so that a query reads its terms' folders only.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions.porter import stem
@@ -71,6 +72,55 @@ def build_postings(docs: DataFrame, key: str, text: str = "text", stemmed: bool
     )
 
 
+class Postings:
+    """A stored index: ``append`` adds documents that it doesn't hold yet, ``rows`` reads those of some terms."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, stemmed: bool = True):
+        self.spark, self.path, self.buckets, self.stemmed = spark, path.rstrip("/"), buckets, stemmed
+
+    def _table(self, name: str, form: str) -> DataFrame:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], form)
+        return self.spark.read.schema(form).parquet(f"{self.path}/{name}")
+
+    def documents(self) -> DataFrame:
+        """(doc_id, dl) of every document held, those without text too."""
+        return self._table("documents", "doc_id string, dl int")
+
+    def append(self, docs: DataFrame, key: str, text: str = "text") -> None:
+        """Add the documents of which the index has none; a document is never changed in place.
+
+        Postings are written before the list of documents: what a failed append leaves
+        behind is made harmless as only listed documents count.
+        """
+        rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+        rows = rows.dropDuplicates(["doc_id"]).join(self.documents().select("doc_id"), "doc_id", "left_anti")
+        found = build_postings(rows, "doc_id", stemmed=self.stemmed)
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+        found = found.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term")
+        found.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        held = self._postings().groupBy("doc_id").agg(F.max("dl").alias("dl"))
+        rows.select("doc_id").join(held, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl")).write.mode("append").parquet(f"{self.path}/documents")
+
+    def _postings(self) -> DataFrame:
+        return self._table("postings", "term string, doc_id string, tf int, positions array<int>, dl int, bucket int")
+
+    def rows(self, terms: list[str]) -> DataFrame:
+        """The postings of the terms; a redelivered one counts once."""
+        if not terms:
+            return self._postings().limit(0).drop("bucket")
+        own = self.spark.createDataFrame([(t,) for t in sorted(set(terms))], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+        buckets = [r[0] for r in own.distinct().collect()]
+        found = self._postings().where(F.col("bucket").isin(buckets) & F.col("term").isin(sorted(set(terms))))
+        return found.drop("bucket").dropDuplicates(["term", "doc_id"]).join(self.documents().select("doc_id"), "doc_id", "left_semi")
+
+    def stats(self) -> DataFrame:
+        """One row (n_docs, n_tokens)."""
+        return self.documents().agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"))
+
+
 def corpus_stats(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """One row (n_docs, n_tokens): documents count whether or not they have text."""
     tokens_ = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).scalar()
@@ -111,10 +161,14 @@ def bm25(postings: DataFrame, stats: DataFrame, query: str, stemmed: bool = True
     )
 
 
-def search(docs: DataFrame, key: str, query: str, hard=None, limit: int | None = 500, stemmed: bool = True, postings: DataFrame | None = None) -> DataFrame:
+def search(docs: DataFrame, key: str, query: str, hard=None, limit: int | None = 500, stemmed: bool = True, postings: DataFrame | Postings | None = None) -> DataFrame:
     """(key, score): the best documents among those that pass the hard filters, which come before the cut; all of them if ``limit`` is None."""
-    postings = build_postings(docs, key, stemmed=stemmed) if postings is None else postings
-    scored = bm25(postings, corpus_stats(docs, postings), query, stemmed).withColumnRenamed("doc_id", key)
+    if isinstance(postings, Postings):
+        stats, postings = postings.stats(), postings.rows([t for p in parse_query(query, postings.stemmed) for t in p])
+    else:
+        postings = build_postings(docs, key, stemmed=stemmed) if postings is None else postings
+        stats = corpus_stats(docs, postings)
+    scored = bm25(postings, stats, query, stemmed).withColumnRenamed("doc_id", key)
     if hard is not None:
         scored = scored.join(docs.where(hard).select(key), key, "left_semi")
     return scored if limit is None else scored.orderBy(F.desc("score"), key).limit(limit)

@@ -20,9 +20,8 @@ from memlake.functions.columns import (
 MIN_DAYS, MIN_COUNT, WINDOW_DAYS, GONE_TAIL = 2, 3, 120, 3
 KEY = ["kind", "subject_entity_id", "predicate", "object_entity_id", "location_id"]
 
-# The detector's classes that are animals or vehicles; all others are things.
+# The detector's classes that are animals; all others are things.
 ANIMALS = frozenset("bird cat dog horse sheep cow elephant bear zebra giraffe".split())
-VEHICLES = frozenset("bicycle car motorcycle airplane bus train truck boat".split())
 # Spellings of a predicate and the one they stand for.
 CANONICAL = {
     "asleep": "sleeping", "napping": "sleeping", "eyes_closed": "sleeping", "on_phone": "using_phone",
@@ -75,12 +74,17 @@ def _edge(kind: str, df: DataFrame, **cols) -> DataFrame:
         *(c.alias(n) for n, c in fixed.items()),
         F.col("times"),
         F.col("confidence"),
-        F.col("evidence"),
+        F.col("n_evidence") if "n_evidence" in df.columns else F.size("evidence").cast("bigint").alias("n_evidence"),
+        F.col("evidence") if "evidence" in df.columns else F.lit(None).cast("array<string>").alias("evidence"),
     )
 
 
 def habits(observations: DataFrame, min_days: int = MIN_DAYS) -> DataFrame:
-    """Candidate habits: hours, and hours of a weekday, at which a subject is present in a zone on several days."""
+    """Candidate habits: hours, and hours of a weekday, at which a subject is present in a zone on several days.
+
+    Evidence is counted, not gathered: a hot subject's would be an array without bound.
+    ``evidence_rows`` gives it as a table.
+    """
     seen = observations.where("predicate = 'present' AND location_id IS NOT NULL AND subject_entity_id IS NOT NULL AND ts IS NOT NULL")
     hour, weekday = hour_bucket(F.col("ts")), local_weekday(F.col("ts"))
     names = F.array(F.concat(F.lit("present_around_"), hour), F.concat(F.lit("present_"), weekday, F.lit("_around_"), hour))
@@ -88,9 +92,9 @@ def habits(observations: DataFrame, min_days: int = MIN_DAYS) -> DataFrame:
         seen.select("subject_entity_id", "location_id", "observation_id", local_day(F.col("ts")).alias("day"), F.explode(names).alias("predicate"))
         # a day's rows first: the distinct count then sees one row a day
         .groupBy("subject_entity_id", "location_id", "predicate", "day")
-        .agg(F.collect_set("observation_id").alias("ids"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("subject_entity_id", "location_id", "predicate")
-        .agg(F.count(F.lit(1)).alias("days"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("evidence"))
+        .agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("n_evidence"))
         .where(F.col("days") >= min_days)
         .withColumn("confidence", F.least(F.lit(1.0), F.col("days") / 5.0))
         .withColumn("times", F.lit(1).cast("bigint"))
@@ -105,12 +109,11 @@ def proximity_verb(label: Column) -> Column:
 
 def relations(observations: DataFrame, entities: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """Candidate relations: things that a subject is near, and zones that it frequents, often enough."""
-    evidence = F.array_sort(F.collect_set("observation_id")).alias("evidence")
-    times = F.count(F.lit(1)).alias("times")
+    times, n_evidence = F.count(F.lit(1)).alias("times"), F.count(F.lit(1)).alias("n_evidence")
     near = (
         observations.where("predicate = 'near' AND object_entity_id IS NOT NULL AND subject_entity_id IS NOT NULL")
         .groupBy("subject_entity_id", "object_entity_id")
-        .agg(times, evidence)
+        .agg(times, n_evidence)
         .where(F.col("times") >= min_count)
         .join(entities.select(F.col("entity_id").alias("object_entity_id"), F.col("label").alias("_thing")), "object_entity_id", "left")
         .withColumn("predicate", proximity_verb(F.col("_thing")))
@@ -119,7 +122,7 @@ def relations(observations: DataFrame, entities: DataFrame, min_count: int = MIN
     often = (
         observations.where("predicate = 'present' AND location_id IS NOT NULL AND subject_entity_id IS NOT NULL")
         .groupBy("subject_entity_id", "location_id")
-        .agg(times, evidence)
+        .agg(times, n_evidence)
         .where(F.col("times") >= min_count)
         .withColumn("predicate", F.lit("frequents"))
         .withColumn("confidence", F.lit(0.7))
@@ -129,28 +132,32 @@ def relations(observations: DataFrame, entities: DataFrame, min_count: int = MIN
     )
 
 
-def evidence_rows(observations: DataFrame, edges: DataFrame) -> DataFrame:
-    """(edge key, observation_id): the evidence of habits and relations as rows, for edges with more of it than an array should hold.
+def evidence_rows(observations: DataFrame, edges: DataFrame, *carried: str) -> DataFrame:
+    """(edge columns, observation_id, carried): the evidence of habits and relations as rows.
 
-    ``edges`` needs the key columns only; nothing is gathered, however hot a subject is.
+    ``edges`` needs the key columns; others come along, and so do the ``carried`` columns
+    of the observations.  Nothing is gathered, however hot a subject is.  Evidence is
+    what the log shows, so it isn't bound to a mining window.
     """
     hour, weekday = hour_bucket(F.col("ts")), local_weekday(F.col("ts"))
+    taken = [F.col(c).alias(f"_c_{c}") for c in carried]
     zoned = observations.where("predicate = 'present' AND location_id IS NOT NULL AND subject_entity_id IS NOT NULL")
     names = F.array(
         F.struct(F.lit("habit").alias("kind"), F.concat(F.lit("present_around_"), hour).alias("predicate")),
         F.struct(F.lit("habit").alias("kind"), F.concat(F.lit("present_"), weekday, F.lit("_around_"), hour).alias("predicate")),
         F.struct(F.lit("relation").alias("kind"), F.lit("frequents").alias("predicate")),
     )
-    here = zoned.select("observation_id", "subject_entity_id", "location_id", F.explode(names).alias("p")).select(
-        "p.*", "subject_entity_id", F.lit(None).cast("string").alias("object_entity_id"), "location_id", "observation_id"
+    at = ["kind", "predicate", "subject_entity_id", "location_id"]
+    here = zoned.select("observation_id", "subject_entity_id", "location_id", *taken, F.explode(names).alias("p")).select(
+        "p.*", "subject_entity_id", "location_id", "observation_id", *(f"_c_{c}" for c in carried)
     )
+    places = edges.where("object_entity_id IS NULL AND kind IN ('habit', 'relation')")
     near = observations.where("predicate = 'near' AND object_entity_id IS NOT NULL AND subject_entity_id IS NOT NULL").select(
-        F.lit("relation").alias("kind"), F.explode(F.array(F.lit("uses"), F.lit("accompanied_by"))).alias("predicate"),
-        "subject_entity_id", "object_entity_id", F.lit(None).cast("string").alias("location_id"), "observation_id",
+        "subject_entity_id", "object_entity_id", "observation_id", *taken
     )
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in KEY]
-    rows = here.unionByName(near).alias("r")
-    return rows.join(edges.select(*KEY).distinct().alias("e"), same, "left_semi")
+    things = edges.where("kind = 'relation' AND predicate IN ('uses', 'accompanied_by') AND location_id IS NULL")
+    order = [*edges.columns, "observation_id", *(F.col(f"_c_{c}").alias(c) for c in carried)]
+    return here.join(places, at).select(*order).unionByName(near.join(things, ["subject_entity_id", "object_entity_id"]).select(*order))
 
 
 def changes(snapshots: DataFrame, tail: int = GONE_TAIL) -> DataFrame:
@@ -212,11 +219,14 @@ def reinforce(current: DataFrame, candidates: DataFrame, now: float) -> DataFram
     """The edges after one pass: weights grow by the evidence, new edges appear, suppressed ones stay as they are.
 
     An edge is confirmed from ``CONFIRM_AT`` on; one that was confirmed isn't taken
-    back here.  Keys compare null-safely; evidence is a sorted union.
+    back here.  Keys compare null-safely.  The few snapshots behind a change are kept in
+    the edge, as a sorted union; of habits and relations it holds how many observations
+    the newest pass rested on.
     """
     added = candidates.groupBy(*KEY).agg(
         F.sum(increment(F.col("confidence"), F.col("times"))).alias("_added"),
         F.array_distinct(F.flatten(F.collect_list("evidence"))).alias("_evidence"),
+        F.sum("n_evidence" if "n_evidence" in candidates.columns else F.size("evidence")).alias("_n"),
     )
     # a null-safe join as a plain equi-join: nulls get a value that no id has
     void = [F.coalesce(F.col(k), F.lit("\x00")).alias(f"_{k}") for k in KEY]
@@ -229,10 +239,11 @@ def reinforce(current: DataFrame, candidates: DataFrame, now: float) -> DataFram
     )
     key = {k: F.when(F.col(f"_{k}") != "\x00", F.col(f"_{k}")) for k in KEY}
     return both.select(
-        F.coalesce("relation_id", stable_id("rel", *(F.coalesce(F.col(f"_{k}"), F.lit("")) for k in KEY))).alias("relation_id"),
+        F.coalesce("relation_id", stable_id("rel", *(F.coalesce(c, F.lit("")) for c in key.values()))).alias("relation_id"),
         *(c.alias(k) for k, c in key.items()),
         F.when(frozen, F.col("weight")).otherwise(grown).alias("weight"),
         F.when(frozen, F.col("supporting_observation_ids")).otherwise(evidence).alias("supporting_observation_ids"),
+        F.when(frozen, F.col("n_evidence")).otherwise(F.col("_n")).alias("n_evidence"),
         F.when(frozen, F.col("last_reinforced_at")).otherwise(F.lit(now)).alias("last_reinforced_at"),
         F.coalesce("created_at", F.lit(now)).alias("created_at"),
         F.when(frozen, F.col("status"))

@@ -18,6 +18,7 @@ from memlake.functions.columns import (
     local_weekday,
     rule_name,
 )
+from memlake.operators.mining import evidence_rows
 from memlake.operators.ranking import collapse_hits, pick_spread
 from memlake.plans.filters import Filters
 from memlake.plans.query_plan import QueryPlan
@@ -278,17 +279,19 @@ def edge_evidence(mem: Memory, plan: QueryPlan, relations: DataFrame) -> DataFra
     edges = relations.where(F.col("kind").isin("relation", "event") & (F.coalesce("status", F.lit("")) != "suppressed"))
     edges = restrict_subjects(mem, plan, edges)
     far = F.coalesce(F.col("object_entity_id"), F.concat(F.lit(SCENE), F.col("location_id")))
-    exploded = edges.select(
-        "relation_id", "kind", "subject_entity_id", "predicate", "weight", "status",
-        F.col("location_id").alias("edge_location"), far.alias("far_id"),
-        F.explode("supporting_observation_ids").alias("observation_id"),
-    )
     filters = Filters(
         since=plan.start, until=plan.end, location_ids=mem.zone_ids(plan.zones), camera_ids=plan.cameras or None,
         min_confidence=plan.min_confidence, exclude_predicates=plan.exclude_predicates or None,
     )
-    rows = mem.scan(filters).select("observation_id", "ts", "source_ref")
-    return exploded.join(rows, "observation_id")
+    rows = mem.scan(filters)
+    shown = [
+        "relation_id", "kind", "subject_entity_id", "predicate", "weight", "status",
+        F.col("location_id").alias("edge_location"), far.alias("far_id"), "observation_id", "ts", "source_ref",
+    ]
+    mined = evidence_rows(rows, edges.where("supporting_observation_ids IS NULL OR size(supporting_observation_ids) = 0"), "ts", "source_ref")
+    # edges that bring their evidence along: events, and those of other stores
+    listed = edges.withColumn("observation_id", F.explode("supporting_observation_ids"))
+    return mined.select(*shown).unionByName(listed.join(rows.select("observation_id", "ts", "source_ref"), "observation_id").select(*shown))
 
 
 def relation_answer(mem: Memory, plan: QueryPlan, relations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from memlake.operators import analytics, corrections, digest, identity, lexical, mining, ranking, reports, semantic
+from memlake.plans import retrieval
 from memlake.plans.filters import Filters
-from memlake.plans.sql import E, END, HABITS, O, RELATIONS, SNAPSHOTS, START, T0, window, with_
+from memlake.plans.query_plan import normalize_plan
+from memlake.plans.sql import E, END, HABITS, MOVES, O, RELATIONS, SNAPSHOTS, START, T0, stable, window, with_
+from memlake.scratch import fresh_path
 from memlake.sources.files import split_classes
 from memlake.sources.memory import Memory
 from memlake.sources.tables import load
@@ -62,9 +64,10 @@ _CANDIDATES = """cand AS (SELECT 'habit' AS kind, subject_entity_id, predicate,
 _WEIGHT = "least(1.0, 0.0 + 0.15 * greatest(0.0, least(1.0, confidence)) * greatest(1, times))"
 
 
-def _mined(mem: Memory, now: float = NOW) -> DataFrame:
+def _mined(mem: Memory, now: float = NOW, passes: int = 1) -> DataFrame:
+    """The edges after some passes over the same rows."""
     rows = mem.scan()
-    found = mining.habits(rows).unionByName(mining.relations(rows, mem.entities))
+    found = mining.habits(rows).unionByName(mining.relations(rows, mem.entities)).withColumn("times", F.col("times") * passes)
     return mining.reinforce(mining.empty_relations(mem.spark), found, now)
 
 
@@ -75,7 +78,7 @@ def _mined(mem: Memory, now: float = NOW) -> DataFrame:
 def reinforce_weights(spark, folder):
     return _mined(Memory(spark, folder)).select(
         "kind", "subject_entity_id", "predicate", "object_entity_id", "location_id", F.round("weight", 9).alias("weight"), "status",
-        F.size("supporting_observation_ids").cast("bigint").alias("n_evidence"),
+        "n_evidence",
     )
 
 
@@ -95,15 +98,26 @@ def evidence_rows(spark, folder):
     mem = Memory(spark, folder)
     rows = mem.scan()
     edges = mining.habits(rows).unionByName(mining.relations(rows, mem.entities))
-    return mining.evidence_rows(rows, edges)
+    return mining.evidence_rows(rows, edges.select(*mining.KEY))
+
+
+_REL_ID = stable("rel", "kind", "subject_entity_id", "predicate", "coalesce(object_entity_id, '')", "coalesce(location_id, '')")
 
 
-@query("distil_pass")
+@query(
+    "distil_pass",
+    with_(O.replace("o AS (SELECT * FROM observations QUALIFY", "o AS (SELECT * FROM observations WHERE ts IS NOT NULL QUALIFY"), E, HABITS, RELATIONS, SNAPSHOTS, _CHANGES, _CANDIDATES)
+    + f""", al AS (SELECT kind, subject_entity_id, predicate, object_entity_id, location_id, times, confidence, len(evidence) AS n FROM cand
+  UNION ALL SELECT 'event', entity_id, CASE WHEN type = 'object' AND kind = 'new' THEN 'acquired' WHEN type = 'object' THEN 'removed' ELSE 'appeared' END, NULL, location_id, 1, 0.5,
+    CASE WHEN kind = 'new' THEN 1 ELSE least(3, (SELECT count(*) FROM sn WHERE sn.location_id = ch.location_id)) END FROM ch JOIN e USING (entity_id) WHERE type = 'object' OR (type = 'person' AND kind = 'new'))
+SELECT {_REL_ID} AS relation_id, kind, subject_entity_id, predicate, object_entity_id, location_id, round({_WEIGHT}, 9) AS weight, n AS n_evidence, {NOW} AS last_reinforced_at, {NOW} AS created_at,
+  CASE WHEN {_WEIGHT} >= 0.6 THEN 'confirmed' ELSE 'candidate' END AS status FROM al""",
+)
 def distil_pass(spark, folder):
     """A whole pass over the memory: habits, relations and change events of the window."""
     mem = Memory(spark, folder)
     found = mining.distil(mining.empty_relations(spark), mem.scan(), mem.entities, mem.snapshots(), NOW)
-    return found.drop("supporting_observation_ids")
+    return found.drop("supporting_observation_ids").withColumn("weight", F.round("weight", 9))
 
 
 @query("mining_window", with_(O) + f"SELECT count(*) AS n FROM o WHERE ts >= (SELECT max(ts) FROM observations) - {20 * 86400}.0")
@@ -250,6 +264,28 @@ def conversation_list(spark, folder):
     return analytics.conversation_list(*_chat(spark, folder)).select("conversation_id", "n_turns", "last_asked")
 
 
+@query("conversation_page", with_(_CHAT) + "SELECT conversation_id, count(*) AS n_turns, max(asked_at) AS last_asked FROM tu GROUP BY 1 ORDER BY max(asked_at) DESC, conversation_id LIMIT 50 OFFSET 25")
+def conversation_page(spark, folder):
+    return analytics.conversation_list(*_chat(spark, folder), limit=50, offset=25).select("conversation_id", "n_turns", "last_asked")
+
+
+@query("answer_counts", with_(O) + f"SELECT count(DISTINCT subject_entity_id) AS n_entities, count(*) AS n_observations, count(DISTINCT source_ref) AS n_keyframes, count(*) FILTER (predicate LIKE 'rule\\_fired:%' ESCAPE '\\') AS n_rule_events FROM o WHERE {window()}")
+def answer_counts(spark, folder):
+    return analytics.answer_counts(Memory(spark, folder).scan(Filters(since=START, until=END)))
+
+
+@query("case_list", """WITH c AS (SELECT DISTINCT 'case_' || c_nationkey AS case_id, c_nationkey AS k FROM customer),
+i AS (SELECT 'case_' || c_nationkey AS case_id, ['entity', 'alert', 'event'][c_custkey % 3 + 1] AS kind FROM customer WHERE c_nationkey % 4 <> 0)
+SELECT c.case_id, k AS updated_at, count(i.kind) AS n_items, count(*) FILTER (kind = 'entity') AS n_entity, count(*) FILTER (kind = 'alert') AS n_alert, count(*) FILTER (kind = 'event') AS n_event
+FROM c LEFT JOIN i USING (case_id) GROUP BY 1, 2 ORDER BY 2 DESC LIMIT 20""")
+def case_list(spark, folder):
+    """Cases made of nations, their items of customers; every fourth case is empty."""
+    rows = spark.read.parquet(f"{folder}/customer.parquet").withColumn("case_id", F.concat(F.lit("case_"), "c_nationkey"))
+    kind = F.element_at(F.array(F.lit("entity"), F.lit("alert"), F.lit("event")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    items = rows.where("c_nationkey % 4 != 0").select("case_id", kind.alias("kind"))
+    return analytics.case_list(rows.select("case_id", F.col("c_nationkey").alias("updated_at")).distinct(), items, limit=20)
+
+
 @query(
     "map_markers",
     with_(O, E) + f""", r AS (SELECT * FROM o WHERE ts >= {END}),
@@ -264,15 +300,28 @@ def map_markers(spark, folder):
     return analytics.map_markers(mem.scan(Filters(since=END)), mem.entities, mem.locations, END).drop("cx", "cy")
 
 
-@query("graph_edges", with_(O, E, HABITS, RELATIONS, _CANDIDATES) + f"SELECT concat_ws('|', subject_entity_id, predicate, coalesce(object_entity_id, location_id)) AS id, subject_entity_id AS \"from\", coalesce(object_entity_id, location_id) AS \"to\", predicate AS label, kind = 'habit' AS dashes FROM cand WHERE {_WEIGHT} >= 0.6 AND ((kind = 'relation' AND object_entity_id IS NOT NULL) OR kind = 'habit')")
+_SURE = "sure AS (SELECT * FROM (SELECT * REPLACE (times * 6 AS times) FROM cand) WHERE " + _WEIGHT + " >= 0.6)"
+
+
+@query(
+    "graph_edges",
+    with_(O, E, HABITS, RELATIONS, _CANDIDATES, _SURE) + """SELECT concat_ws('|', subject_entity_id, predicate, coalesce(object_entity_id, location_id)) AS id, subject_entity_id AS "from",
+  coalesce(object_entity_id, location_id) AS "to", predicate AS label, kind = 'habit' AS dashes FROM sure WHERE (kind = 'relation' AND object_entity_id IS NOT NULL) OR kind = 'habit'""",
+)
 def graph_edges(spark, folder):
-    return analytics.graph_edges(_mined(Memory(spark, folder))).drop("t")
+    """What six passes have confirmed."""
+    return analytics.graph_edges(_mined(Memory(spark, folder), passes=6)).drop("t")
 
 
-@query("graph_nodes")
+@query(
+    "graph_nodes",
+    with_(O, E, HABITS, RELATIONS, _CANDIDATES, _SURE) + """SELECT entity_id AS id, coalesce(nullif(label, ''), CASE WHEN type = 'person' THEN 'Unknown Person' ELSE 'Unknown Object' END) AS label,
+  CASE WHEN type = 'person' THEN 'person' ELSE 'object' END AS "group" FROM e WHERE lower(trim(status)) = 'active'
+UNION ALL SELECT DISTINCT location_id, location_id, 'location' FROM sure WHERE kind = 'habit'""",
+)
 def graph_nodes(spark, folder):
     mem = Memory(spark, folder)
-    return analytics.graph_nodes(mem.active, analytics.graph_edges(_mined(mem)))
+    return analytics.graph_nodes(mem.active, analytics.graph_edges(_mined(mem, passes=6)))
 
 
 @query("zones_by_camera", "SELECT camera_id, array_to_string(list_sort(list(name) FILTER (name IS NOT NULL)), '|') AS zones FROM (SELECT camera_id, name FROM locations UNION ALL SELECT DISTINCT camera_id, NULL FROM observations WHERE camera_id IS NOT NULL AND camera_id NOT IN (SELECT camera_id FROM locations WHERE camera_id IS NOT NULL)) GROUP BY 1")
@@ -339,11 +388,28 @@ def unusual_hours(spark, folder):
     return digest.unusual_hours(mem.scan(Filters(since=START, until=END)), rel).select("subject_entity_id", "location_id", "h", "ts")
 
 
+_ITEMS = f"""hh AS (SELECT subject_entity_id, location_id, list_sort(list(DISTINCT CAST(regexp_extract(predicate, '^present_around_(\\d+)h$', 1) AS INT))) AS hours FROM habits WHERE predicate LIKE 'present\\_around\\_%' ESCAPE '\\' GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN predicate LIKE 'rule\\_fired:%' ESCAPE '\\' THEN predicate[12:] ELSE predicate END AS rule FROM o WHERE {window()}),
+kf AS (SELECT subject_entity_id AS entity_id, min(ts) AS t, arg_min(source_ref, (ts, seq)) FILTER (source_ref IS NOT NULL) AS own FROM o WHERE subject_entity_id IS NOT NULL GROUP BY 1),
+nr AS (SELECT kf.entity_id, arg_min(x.source_ref, (x.ts, x.seq)) AS source_ref FROM kf JOIN r x ON x.ts BETWEEN kf.t - 10 AND kf.t + 10 AND x.source_ref IS NOT NULL WHERE own IS NULL GROUP BY 1),
+ff AS (SELECT subject_entity_id AS entity_id, arg_min(coalesce(location_id, ''), (ts, seq)) AS place FROM o WHERE ts IS NOT NULL GROUP BY 1),
+u AS (SELECT subject_entity_id, location_id, {_HOUR} AS h, arg_min({{'ts': ts, 'ref': coalesce(source_ref, '')}}, (ts, seq)) AS f FROM r WHERE predicate = 'present' AND location_id IS NOT NULL GROUP BY 1, 2, 3),
+i0 AS (SELECT concat_ws(':', 'rule', rule, subject_entity_id, CAST(CAST(floor(ts) AS BIGINT) AS VARCHAR)) AS signature, 'rule_fired' AS band, subject_entity_id AS entity_id, 'Rule fired: ' || rule AS title, ts, location_id, source_ref FROM r WHERE origin = 'rule'
+  UNION ALL SELECT 'first_seen:' || entity_id, 'unusual', entity_id, 'First time seen', created_at, nullif(place, ''), coalesce(own, nr.source_ref) FROM e LEFT JOIN ff USING (entity_id) LEFT JOIN kf USING (entity_id) LEFT JOIN nr USING (entity_id)
+    WHERE lower(trim(status)) = 'active' AND created_at BETWEEN {START} AND {END}
+  UNION ALL SELECT printf('unusual_hour:%s:%s:%02d', subject_entity_id, location_id, h), 'unusual', subject_entity_id, printf('Present at unusual hour (%02dh local; habit hours: [%s])', h, array_to_string(hours, ', ')), f.ts, location_id, nullif(f.ref, '')
+    FROM u JOIN hh USING (subject_entity_id, location_id) WHERE len(list_filter(hours, lambda y: abs(h - y) <= 1 OR abs(h - y) >= 23)) = 0),
+tr AS (SELECT DISTINCT regexp_extract(predicate, '^digest:[a-z]+:(.*)$', 1) AS signature FROM o WHERE regexp_matches(predicate, '^digest:(dismissed|confirmed):')),
+it AS (SELECT signature, i0.entity_id, band, title, i0.ts, CASE WHEN source_ref <> '' THEN '/keyframe/' || string_split(source_ref, '/')[-1] END AS keyframe,
+  coalesce(nullif(label, ''), upper(coalesce(type, 'entity')[1]) || lower(coalesce(type, 'entity')[2:]) || ' ' || right(i0.entity_id, 6)) AS label, l.name AS location
+  FROM i0 LEFT JOIN e USING (entity_id) LEFT JOIN locations l USING (location_id) WHERE signature NOT IN (SELECT signature FROM tr))"""
+
+
 def _digest(mem: Memory):
     return digest.build(mem.scan(), mem.entities, mem.active, mem.locations, _mined(mem, START + 1), START, END)
 
 
-@query("digest_items")
+@query("digest_items", with_(O, E, HABITS, _ITEMS) + "SELECT * FROM it")
 def digest_items(spark, folder):
     return _digest(Memory(spark, folder)).items
 
@@ -358,7 +424,12 @@ def digest_routine(spark, folder):
     return _digest(Memory(spark, folder)).routine
 
 
-@query("digest_histogram")
+@query(
+    "digest_histogram",
+    with_(O, E, HABITS, _ITEMS) + f""", c AS (SELECT CAST(least(29, greatest(0, floor((ts - {START}) / {(END - START) / 30}))) AS INT) AS bin, count(*) AS n FROM r GROUP BY 1),
+m AS (SELECT CAST(least(29, greatest(0, floor((ts - {START}) / {(END - START) / 30}))) AS INT) AS bin, bool_or(band = 'rule_fired') AS fired FROM it GROUP BY 1)
+SELECT bin, coalesce(n, 0) AS count, CASE WHEN fired THEN 'f' WHEN fired IS NOT NULL THEN 'u' ELSE 'r' END AS type FROM (SELECT CAST(unnest(range(30)) AS INT) AS bin) LEFT JOIN c USING (bin) LEFT JOIN m USING (bin)""",
+)
 def digest_histogram(spark, folder):
     return _digest(Memory(spark, folder)).histogram
 
@@ -383,6 +454,17 @@ def bm25_exact(spark, folder):
     return found.select("description_id", F.round("score", 9).alias("score"))
 
 
+@query("bm25_stored", ORACLE["bm25_exact"])
+def bm25_stored(spark, folder):
+    """The same search over a stored index that was filled in two goes, the second overlapping the first."""
+    docs = Memory(spark, folder).table("scene_descriptions")
+    index = lexical.Postings(spark, fresh_path(spark, "index"), 16, stemmed=False)
+    index.append(docs.where(f"ts < {END}"), "description_id")
+    index.append(docs, "description_id")
+    found = lexical.search(docs, "description_id", "crate ramp", limit=None, stemmed=False, postings=index)
+    return found.select("description_id", F.round("score", 9).alias("score"))
+
+
 @query("bm25_porter")
 def bm25_porter(spark, folder):
     """Stemmed search over observations with hard filters ahead of the cut."""
@@ -456,6 +538,28 @@ def collapse_runs(spark, folder):
     return ranking.collapse_hits(hits).select("entity_id", "predicate", "first_seen", "last_seen", "n", "score")
 
 
+_ASKED = f"""d AS (SELECT observation_id AS doc_id, {_TOKENS} AS t FROM o),
+c AS (SELECT count(*) AS n, sum(coalesce(len(t), 0)) / count(*) AS avgdl FROM d),
+w AS (SELECT doc_id, len(t) AS dl, len(list_filter(t, lambda x: x = 'crate')) AS tf FROM d),
+m AS (SELECT *, count(*) OVER () AS df FROM w WHERE tf > 0),
+lx AS (SELECT doc_id AS observation_id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM m, c
+  WHERE doc_id IN (SELECT observation_id FROM o WHERE {window()})),
+a_ AS (SELECT observation_id, row_number() OVER (ORDER BY round(score, 9) DESC, observation_id) AS r FROM lx ORDER BY r LIMIT 500),
+sm AS (SELECT observation_id, round(score, 6) AS score FROM cs JOIN o ON CAST(o.seq AS VARCHAR) = cs.ref_id WHERE score >= 0.3 AND {window()}),
+b_ AS (SELECT observation_id, row_number() OVER (ORDER BY score DESC, observation_id) AS r FROM sm ORDER BY r LIMIT 200)"""
+
+
+@query("ask_text", with_(O, _COS, _ASKED, _FUSED) + "SELECT observation_id, round(score, 9) AS score, reason FROM fu")
+def ask_text(spark, folder):
+    """A word question within a window: exact words, exact vectors (those of the embedding table, by seq), fused."""
+    mem = Memory(spark, folder)
+    ids = mem.scan().select(F.col("seq").cast("string").alias("ref_id"), "observation_id")
+    vectors = _vectors(spark, folder).join(ids, "ref_id").drop("ref_id").withColumnRenamed("observation_id", "ref_id")
+    index = retrieval.SearchIndex(embeddings=vectors, encoder=lambda texts: [_probe(spark, folder)], model="m", stemmed=False)
+    found = retrieval.retrieve(mem, normalize_plan({"start": START, "end": END, "text": "crate"}), index)
+    return found.select("observation_id", F.round("score", 9).alias("score"), "reason")
+
+
 @query("text_backlog_anti", with_(O) + "SELECT observation_id, ts FROM o WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM embeddings x WHERE x.vec_id = o.seq) ORDER BY ts DESC NULLS LAST, observation_id DESC LIMIT 500")
 def text_backlog_anti(spark, folder):
     mem = Memory(spark, folder)
@@ -475,8 +579,8 @@ def _faces(mem: Memory) -> DataFrame:
 _SIG = """sg0 AS (SELECT * FROM signatures WHERE kind = 'face' AND len(vec) = dim AND NOT list_contains(vec, 'nan'::FLOAT) AND (list_max(vec) <> 0 OR list_min(vec) <> 0)
   AND len(list_filter(vec, lambda x: x IS NULL)) = 0 QUALIFY row_number() OVER (PARTITION BY sig_id ORDER BY created_at) = 1),
 sg1 AS (SELECT s.*, sqrt(list_dot_product(CAST(vec AS DOUBLE[]), CAST(vec AS DOUBLE[]))) AS len_ FROM sg0 s JOIN e USING (entity_id) WHERE lower(trim(e.status)) = 'active'),
-sg AS (SELECT * FROM sg1 QUALIFY row_number() OVER (PARTITION BY entity_id, kind ORDER BY created_at DESC, sig_id DESC) <= 3),
-sp AS (SELECT a.entity_id AS a, b.entity_id AS b, max(list_dot_product(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])) / a.len_ / b.len_) AS sim FROM sg a JOIN sg b ON a.entity_id < b.entity_id GROUP BY 1, 2)"""
+sg AS (SELECT sig_id, entity_id, list_transform(CAST(vec AS DOUBLE[]), lambda x: x / len_) AS v FROM sg1),
+sp AS (SELECT a.entity_id AS a, b.entity_id AS b, max(list_dot_product(a.v, b.v)) AS sim FROM sg a JOIN sg b ON a.entity_id < b.entity_id GROUP BY 1, 2)"""
 
 
 @query("merge_suggestions", with_(E, _SIG) + "SELECT a AS source_id, b AS target_id, round(sim, 3) AS similarity FROM sp WHERE sim >= 0.8")
@@ -494,8 +598,11 @@ def auto_merge_moves(spark, folder):
     return corrections.merge_moves(identity.similar_entities(_faces(mem), 0.8).select("a", "b"), mem.entities, mem.scan())
 
 
-@query("best_match", with_(E, _SIG) + """, pb AS (SELECT sig_id, vec, len_ FROM sg WHERE sig_id LIKE 'sig_0%'), gl AS (SELECT * FROM sg WHERE sig_id NOT LIKE 'sig_0%')
-SELECT pb.sig_id AS probe_id, round(max(list_dot_product(CAST(pb.vec AS DOUBLE[]), CAST(gl.vec AS DOUBLE[])) / pb.len_ / gl.len_), 3) AS similarity FROM pb, gl GROUP BY 1""")
+@query(
+    "best_match",
+    with_(E, _SIG) + """, p AS (SELECT a.sig_id AS probe_id, b.entity_id, round(list_dot_product(a.v, b.v), 9) AS s FROM sg a JOIN sg b ON a.sig_id <> b.sig_id)
+SELECT probe_id, entity_id, round(s, 3) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY s DESC, entity_id) = 1""",
+)
 def best_match(spark, folder):
     faces = _faces(Memory(spark, folder))
     probes = faces.select(F.col("sig_id").alias("probe_id"), "vec")
@@ -517,20 +624,16 @@ def separation_matrix(spark, folder):
 
 
 def _moves(mem: Memory) -> DataFrame:
-    said = F.regexp_extract("status", r"^merged_into:(ent_\w+)$", 1)
-    return mem.entities.select(F.col("entity_id").alias("src"), said.alias("dst")).where("dst != '' AND src != dst")
-
-
-_MOVES = "mv AS (SELECT entity_id AS src, regexp_extract(status, '^merged_into:(ent_\\w+)$', 1) AS dst FROM e WHERE regexp_extract(status, '^merged_into:(ent_\\w+)$', 1) NOT IN ('', entity_id))"
+    return corrections.told_moves(mem.table("entities"))
 
 
-@query("merge_repointed", with_(O, E, _MOVES) + "SELECT observation_id, coalesce(a.dst, subject_entity_id) AS subject_entity_id, coalesce(b.dst, object_entity_id) AS object_entity_id FROM o LEFT JOIN mv a ON a.src = subject_entity_id LEFT JOIN mv b ON b.src = object_entity_id")
+@query("merge_repointed", with_(O, MOVES) + "SELECT observation_id, coalesce(a.dst, subject_entity_id) AS subject_entity_id, coalesce(b.dst, object_entity_id) AS object_entity_id FROM o LEFT JOIN mv a ON a.src = subject_entity_id LEFT JOIN mv b ON b.src = object_entity_id")
 def merge_repointed(spark, folder):
     mem = Memory(spark, folder)
     return corrections.repoint(mem.scan().select("observation_id", "subject_entity_id", "object_entity_id"), ["subject_entity_id", "object_entity_id"], _moves(mem))
 
 
-@query("merge_snapshots", with_(E, SNAPSHOTS, _MOVES) + "SELECT snapshot_id, array_to_string(list_sort(list(DISTINCT coalesce(dst, x))), '|') AS present FROM (SELECT snapshot_id, unnest(present_entity_ids) AS x FROM sn) LEFT JOIN mv ON src = x GROUP BY 1")
+@query("merge_snapshots", with_(SNAPSHOTS, MOVES) + "SELECT snapshot_id, array_to_string(list_sort(list(DISTINCT coalesce(dst, x))), '|') AS present FROM (SELECT snapshot_id, unnest(present_entity_ids) AS x FROM sn) LEFT JOIN mv ON src = x GROUP BY 1")
 def merge_snapshots(spark, folder):
     mem = Memory(spark, folder)
     return corrections.repoint_snapshots(mem.snapshots(), _moves(mem)).select("snapshot_id", F.array_join("present_entity_ids", "|").alias("present"))
@@ -555,15 +658,22 @@ def signatures_newest(spark, folder):
 # --- reports, geometry and live operators ----------------------------------------
 
 
-@query(
-    "report_facts",
-    """WITH j AS (SELECT description_id, raw::JSON AS r FROM scene_descriptions),
-n AS (SELECT description_id, unnest(CAST(r->'notable' AS VARCHAR[])) AS text FROM j)
-SELECT description_id, text, text AS predicate FROM n WHERE text <> ''""",
-)
-def report_notables(spark, folder):
-    found = reports.report_facts(Memory(spark, folder).table("scene_descriptions"))
-    return found.where("section = 'notable'").select("description_id", "text", "predicate")
+_FACTS = """j AS (SELECT d.*, CASE WHEN json_valid(raw) THEN from_json(raw, '{"people":[{"ref":"VARCHAR","state":"VARCHAR","context_analysis":"VARCHAR"}],"notable":["VARCHAR"],"objects":[{"label":"VARCHAR","description":"VARCHAR"}],"locations":[{"location":"VARCHAR","contents":["VARCHAR"]}]}') END AS r FROM scene_descriptions d),
+fp AS (SELECT description_id, unnest(r.people) AS p, unnest(range(len(r.people))) AS k FROM j), fn AS (SELECT description_id, unnest(r.notable) AS n, unnest(range(len(r.notable))) AS k FROM j),
+fo AS (SELECT description_id, unnest(r.objects) AS o, unnest(range(len(r.objects))) AS k FROM j), fl AS (SELECT description_id, unnest(r.locations) AS l, unnest(range(len(r.locations))) AS k FROM j),
+fc AS (SELECT description_id, trim(coalesce(l.location, '')) AS place, trim(unnest(l.contents)) AS item, k, unnest(range(len(l.contents))) AS m FROM fl),
+ot AS (SELECT description_id, k, trim(o.label) || CASE WHEN trim(o.description) <> '' THEN ' — ' || trim(o.description) ELSE '' END AS text FROM fo WHERE trim(o.label) <> ''),
+f0 AS (SELECT description_id, 1 AS part, 2 * k AS k, 0 AS m, coalesce(nullif(p.ref, ''), 'person') AS ref, 'state:' || p.state AS predicate, p.state AS text, 'people' AS section, NULL AS place FROM fp WHERE p.state <> ''
+  UNION ALL SELECT description_id, 1, 2 * k + 1, 0, coalesce(nullif(p.ref, ''), 'person'), 'context_analysis:' || p.context_analysis, p.context_analysis, 'people', NULL FROM fp WHERE p.context_analysis <> ''
+  UNION ALL SELECT description_id, 2, k, 0, 'scene', n, n, 'notable', NULL FROM fn WHERE n <> ''
+  UNION ALL SELECT description_id, 3, k, 0, 'scene', 'object:' || text, text, 'objects', NULL FROM ot
+  UNION ALL SELECT description_id, 4, k, m, 'scene', 'area:' || CASE WHEN place <> '' THEN place || ' — ' || item ELSE item END, item || CASE WHEN place <> '' THEN ' in ' || place ELSE '' END, 'locations', nullif(place, '') FROM fc WHERE item <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY description_id ORDER BY part, k, m) - 1 AS i FROM f0 QUALIFY i < 64)"""
+
+
+@query("report_facts", with_(_FACTS) + "SELECT description_id, CAST(i AS INT) AS i, ref, predicate, text, section, place FROM f")
+def report_facts(spark, folder):
+    return reports.report_facts(Memory(spark, folder).table("scene_descriptions"))
 
 
 @query("report_flattened", "SELECT description_id, text FROM scene_descriptions WHERE text <> ''")
@@ -571,7 +681,13 @@ def report_flattened(spark, folder):
     return reports.flattened(Memory(spark, folder).table("scene_descriptions"))
 
 
-@query("report_observations")
+@query(
+    "report_observations",
+    with_(_FACTS, "z AS (SELECT name AS place, min(location_id) AS zone FROM locations GROUP BY 1)") + f"""SELECT {stable('obs', 'f.description_id', 'CAST(i AS VARCHAR)')} AS observation_id,
+  CASE WHEN section IN ('objects', 'locations') THEN 'scene:' || coalesce(zone, location_id, camera_id, 'unknown') ELSE ref END AS subject_entity_id, f.predicate,
+  CASE WHEN section IN ('objects', 'locations') THEN coalesce(zone, location_id) ELSE location_id END AS location_id, ts, CAST(0.6 AS DOUBLE) AS confidence, source_ref, 'vlm' AS origin, camera_id, f.description_id, f.text
+FROM f JOIN scene_descriptions d USING (description_id) LEFT JOIN z USING (place) WHERE section IN ('objects', 'locations') OR ref LIKE 'ent\\_%' ESCAPE '\\'""",
+)
 def report_observations(spark, folder):
     mem = Memory(spark, folder)
     return reports.report_observations(mem.table("scene_descriptions"), mem.locations)
@@ -772,20 +888,31 @@ def dismissed_fires(spark, folder):
     return digest.dismissed_fires(rows.unionByName(no), "linger_at_ramp").select("observation_id", "entity_id", "ts")
 
 
-@query("relation_by_key", with_(O, E, HABITS, RELATIONS, _CANDIDATES) + "SELECT kind, subject_entity_id, predicate, location_id FROM cand WHERE kind = 'relation' AND subject_entity_id = 'scene:loc_1a15dbff0ebd' AND predicate = 'frequents' AND object_entity_id IS NULL AND location_id = 'loc_1a15dbff0ebd'")
+@query(
+    "relation_by_key",
+    with_(O, E, HABITS, RELATIONS, _CANDIDATES) + """, f AS (SELECT * FROM cand WHERE kind = 'relation' AND object_entity_id IS NULL)
+SELECT kind, subject_entity_id, predicate, location_id FROM f ORDER BY subject_entity_id, location_id LIMIT 1""",
+)
 def relation_by_key(spark, folder):
-    found = analytics.relation_by_key(
-        _mined(Memory(spark, folder)), kind="relation", subject_entity_id="scene:loc_1a15dbff0ebd", predicate="frequents", object_entity_id=None, location_id="loc_1a15dbff0ebd"
-    )
-    return found.select("kind", "subject_entity_id", "predicate", "location_id")
+    """The first edge to a place, found by its key, of which the object is null."""
+    edges = _mined(Memory(spark, folder)).where("kind = 'relation' AND object_entity_id IS NULL")
+    key = edges.select(*mining.KEY).orderBy("subject_entity_id", "location_id").first()
+    return analytics.relation_by_key(edges, **(key.asDict() if key else dict.fromkeys(mining.KEY))).select("kind", "subject_entity_id", "predicate", "location_id")
 
 
-@query("coalesced_edges")
+@query(
+    "coalesced_edges",
+    with_(O, E, HABITS, RELATIONS, _CANDIDATES, MOVES) + f""", w AS (SELECT *, {_WEIGHT} AS weight, {_REL_ID} AS relation_id, len(evidence) AS n FROM cand)
+SELECT kind, coalesce(a.dst, subject_entity_id) AS subject_entity_id, predicate, coalesce(b.dst, object_entity_id) AS object_entity_id, location_id, min(relation_id) AS relation_id,
+  round(least(1.0, sum(weight)), 9) AS weight, CAST(sum(n) AS BIGINT) AS n_evidence, {NOW} AS last_reinforced_at, {NOW} AS created_at,
+  arg_max(CASE WHEN weight >= 0.6 THEN 'confirmed' ELSE 'candidate' END, weight) AS status
+FROM w LEFT JOIN mv a ON a.src = subject_entity_id LEFT JOIN mv b ON b.src = object_entity_id GROUP BY 1, 2, 3, 4, 5""",
+)
 def coalesced_edges(spark, folder):
     """The mined edges after all merges that the statuses tell, alike ones joined."""
     mem = Memory(spark, folder)
     moved = corrections.repoint(_mined(mem), ["subject_entity_id", "object_entity_id"], _moves(mem))
-    return corrections.coalesce_edges(moved).drop("supporting_observation_ids")
+    return corrections.coalesce_edges(moved).drop("supporting_observation_ids").withColumn("weight", F.round("weight", 9))
 
 
 @query("match_or_mint")

@@ -132,7 +132,10 @@ def diverse_keyframes(spark, folder):
     return found.select("entity_id", F.array_join("keyframes", "|").alias("keyframes"))
 
 
-@query("answer_facts")
+@query(
+    "answer_facts",
+    _answer_sql(window(IN_ZONE)).replace("SELECT entity_id, label, type, first_seen, last_seen,", "SELECT label, type, strftime(make_timestamp(CAST(first_seen * 1000000 AS BIGINT)), '%a %d %b %H:%M') AS first_seen, strftime(make_timestamp(CAST(last_seen * 1000000 AS BIGINT)), '%a %d %b %H:%M') AS last_seen,").replace("AS duration_s, n_observations FROM", "AS duration_s, n_observations, NULL AS matched_by FROM"),
+)
 def answer_facts(spark, folder):
     return A.facts(A.answer(Memory(spark, folder), normalize_plan(_span | {"zones": [ZONE]})).entities)
 
@@ -207,37 +210,62 @@ def relations_evidence(spark, folder):
     return found.select("subject_entity_id", "predicate", "far_id", "object_label", "n_supporting")
 
 
-@query("relations_entities")
+@query(
+    "relations_entities",
+    with_(O, E, SUBJECTS, RELATIONS) + f""", x AS (SELECT coalesce(object_entity_id, 'scene:' || location_id) AS far_id, unnest(evidence) AS observation_id FROM rel),
+y AS (SELECT far_id AS entity_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n_observations FROM x JOIN o USING (observation_id) WHERE {window()} GROUP BY 1),
+f AS (SELECT * FROM {LABELLED.format('y')})
+SELECT entity_id, label, type, first_seen, last_seen, round_even(last_seen - first_seen, 1) AS duration_s, n_observations FROM f ORDER BY n_observations DESC, first_seen, entity_id LIMIT 20""",
+)
 def relations_entities(spark, folder):
     mem = Memory(spark, folder)
     found = A.answer(mem, normalize_plan(_span | {"intent": "relations", "limit": 20}), relations=_edges(mem)).entities
     return found.select(*SHOWN)
 
 
-@query("ladder_widened", _answer_sql(f"ts >= {START - 0.5 - 1.5} AND ts <= {START + 0.5 + 1.5} AND camera_id = 'cam_none'"))
-def ladder_widened(spark, folder):
-    """A window of a second at a camera that doesn't exist: the ladder runs to its end and tells so."""
+def _ladder(spark: SparkSession, folder: str, plan: dict) -> DataFrame:
+    """The answer of the first rung that finds something, which is told with it."""
     mem = Memory(spark, folder)
-    plan = normalize_plan({"start": START, "end": START + 1, "cameras": ["cam_none"], "zones": [ZONE], "entity_labels": ["trailer"]})
-    return ladder.execute(mem, plan, lambda p, _m: A.answer(mem, p)).entities.select(*SHOWN)
+    found = ladder.execute(mem, normalize_plan(plan), lambda p, _m: A.answer(mem, p))
+    step = (found.relaxation or {}).get("answered_by")
+    return found.entities.select(*SHOWN, F.lit(step).cast("string").alias("answered_by"))
+
+
+def _ladder_sql(where: str, step: str, subjects: str = "") -> str:
+    return _answer_sql(where, subjects).replace("AS duration_s, n_observations FROM", f"AS duration_s, n_observations, {step} AS answered_by FROM")
+
 
+#: A zone in which the rule asked for below doesn't fire.
+LONELY = "mezzanine_stair"
 
-@query("ladder_drop_zone", _answer_sql("ts >= 1704931200.0 - 21600 AND ts <= 1704931200.0 + 21600 AND contains(lower(coalesce(predicate, '')), 'rule_fired:no_such')"))
+
+@query("ladder_widened", _ladder_sql(f"ts BETWEEN {START + 0.1 - 21600} AND {START + 0.1 + 21600}", "'widen_window'"))
+def ladder_widened(spark, folder):
+    """A moment when nothing was seen: six hours before and after are looked at."""
+    return _ladder(spark, folder, {"start": START + 0.1, "end": START + 0.1})
+
+
+@query("ladder_drop_zone", _ladder_sql(window("AND contains(lower(predicate), 'rule_fired:cage_after_hours')"), "'drop_zone'"))
+def ladder_drop_zone(spark, folder):
+    """No such rule fires in this zone, nor in a longer window: any zone will do."""
+    return _ladder(spark, folder, _span | {"predicate_contains": "rule_fired:cage_after_hours", "zones": [LONELY]})
+
+
+@query("ladder_dead_end", _ladder_sql("false", "NULL"))
 def ladder_dead_end(spark, folder):
-    mem = Memory(spark, folder)
-    plan = normalize_plan({"start": 1704931200.0, "end": 1704931200.0, "predicate_contains": "rule_fired:no_such", "zones": [ZONE]})
-    return ladder.execute(mem, plan, lambda p, _m: A.answer(mem, p)).entities.select(*SHOWN)
+    """Nothing helps: the answer stays empty and tells what was tried."""
+    return _ladder(spark, folder, _span | {"cameras": ["cam_none"], "zones": [ZONE], "entity_labels": ["trailer"]})
 
 
 @query("habits_hour_weekday", with_(O, HABITS) + "SELECT subject_entity_id, location_id, predicate, len(evidence) AS n_evidence, least(1.0, days / 5.0) AS confidence FROM habits")
 def habits_hour_weekday(spark, folder):
     found = mining.habits(Memory(spark, folder).scan())
-    return found.select("subject_entity_id", "location_id", "predicate", F.size("evidence").cast("bigint").alias("n_evidence"), "confidence")
+    return found.select("subject_entity_id", "location_id", "predicate", "n_evidence", "confidence")
 
 
-@query("relations_near_frequents", with_(O, E, RELATIONS) + "SELECT subject_entity_id, predicate, object_entity_id, location_id, times, CAST(confidence AS DOUBLE) AS confidence, array_to_string(evidence, '|') AS evidence FROM rel")
+@query("relations_near_frequents", with_(O, E, RELATIONS) + "SELECT subject_entity_id, predicate, object_entity_id, location_id, times, CAST(confidence AS DOUBLE) AS confidence, len(evidence) AS n_evidence FROM rel")
 def relations_near_frequents(spark, folder):
     mem = Memory(spark, folder)
     return mining.relations(mem.scan(), mem.entities).select(
-        "subject_entity_id", "predicate", "object_entity_id", "location_id", "times", "confidence", F.array_join("evidence", "|").alias("evidence")
+        "subject_entity_id", "predicate", "object_entity_id", "location_id", "times", "confidence", "n_evidence"
     )

@@ -45,3 +45,15 @@ def window(extra: str = "") -> str:
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+#: (src, dst): every id that statuses link to others, and the least id of its group where that is another.
+MOVES = """ml AS (SELECT lower(entity_id) AS a, regexp_extract(lower(status), '^\\s*merged_into:\\s*(\\S+)\\s*$', 1) AS b FROM entities),
+mb AS (SELECT a AS u, b AS v FROM ml WHERE b <> '' AND a <> b UNION SELECT b, a FROM ml WHERE b <> '' AND a <> b),
+mv AS (SELECT * FROM (WITH RECURSIVE q AS (SELECT u AS id, u AS g FROM mb UNION SELECT mb.u, q.g FROM q JOIN mb ON mb.v = q.id)
+  SELECT id AS src, min(g) AS dst FROM q GROUP BY 1) WHERE src <> dst)"""
+
+
+def stable(prefix: str, *parts: str) -> str:
+    """An id made of the parts, as ``stable_id`` makes it."""
+    return f"'{prefix}_' || sha256(" + " || chr(31) || ".join(parts) + ")[1:12]"

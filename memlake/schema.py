@@ -24,7 +24,7 @@ DDL = {
     ),
     "relations": (
         "relation_id string, kind string, subject_entity_id string, predicate string, object_entity_id string,"
-        " location_id string, weight double, supporting_observation_ids array<string>, last_reinforced_at double,"
+        " location_id string, weight double, supporting_observation_ids array<string>, n_evidence bigint, last_reinforced_at double,"
         " created_at double, status string"
     ),
     "predicate_schema": "predicate string, subject_type string, object_type string, canonical string",

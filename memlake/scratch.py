@@ -30,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table."""
+    _made[:] = [m for m in _made if m[1] != path]
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -38,6 +39,13 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; what is written there goes when the process ends."""
+    path = f"{shared_dir(spark)}/memlake-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table that was written."""
     return materialized(df, name)[0]
@@ -46,14 +54,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def materialized(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As ``materialize``, with the path, so that a loop can drop what it no longer reads."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memlake-{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    for spark, path in list(_made):
         if spark.sparkContext._jsc is not None:
             remove(spark, path)

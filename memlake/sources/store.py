@@ -1,8 +1,10 @@
 """Writable tables as versions of Parquet folders with one writer a table.
 
-``root/<table>/v<N>`` holds a version, ``root/<table>/_current`` names the one in
-force.  Appends add files to the version in force; upserts, updates and deletes write
-the next version beside it and then switch, so that readers never see half a change.
+``root/<table>/v<N>`` holds a version and an empty file ``root/<table>/_versions/<N>``
+says that it is whole; the highest so marked is in force.  Appends add files to the
+version in force; upserts, updates and deletes write the next version beside it and
+then add its mark, which is one atomic step: a reader finds the old version or the new
+one.  Old versions stay until ``vacuum``.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.columns import event_time
+from memlake.functions.columns import event_time, title_from_question
 from memlake.schema import DDL, schema
 
 #: Tables cut by day, so that a time window reads only its days.
@@ -52,24 +54,12 @@ class Store:
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
     def version(self, table: str) -> int:
-        fs, path = self._fs(f"{self.root}/{table}/_current")
-        if not fs.exists(path):
-            return 0
-        stream = fs.open(path)
-        try:
-            return int(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        fs, path = self._fs(f"{self.root}/{table}/_versions")
+        return max((int(s.getPath().getName()) for s in fs.listStatus(path)), default=0) if fs.exists(path) else 0
 
     def _switch(self, table: str, version: int) -> None:
-        fs, path = self._fs(f"{self.root}/{table}/_current")
-        _, staged = self._fs(f"{self.root}/{table}/_next")
-        out = fs.create(staged, True)
-        out.write(bytearray(str(version).encode()))
-        out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(staged, path)
+        fs, path = self._fs(f"{self.root}/{table}/_versions/{version}")
+        fs.create(path, False).close()
 
     def path(self, table: str, version: int | None = None) -> str:
         return f"{self.root}/{table}/v{self.version(table) if version is None else version}"
@@ -105,9 +95,8 @@ class Store:
 
     def _write(self, table: str, rows: DataFrame, version: int, mode: str) -> None:
         if table in BY_DAY:
-            day = F.to_date(event_time(F.col("ts")))
-            # a day's rows go to few files, however many tasks hold some
-            rows = rows.withColumn("event_date", day).repartition("event_date", F.pmod(F.xxhash64(*KEYS[table]), F.lit(8)))
+            # a day's rows go to files of even size, as many as the day needs
+            rows = rows.withColumn("event_date", F.to_date(event_time(F.col("ts")))).hint("rebalance", F.col("event_date"))
             rows.write.mode(mode).partitionBy("event_date").parquet(self.path(table, version))
         else:
             rows.write.mode(mode).parquet(self.path(table, version))
@@ -117,8 +106,9 @@ class Store:
             raise KeyError(table)
         version = self.version(table)
         self._write(table, self._shaped(table, rows), version, "append")
-        if version == 0:
-            self._switch(table, 0)
+        fs, mark = self._fs(f"{self.root}/{table}/_versions/{version}")
+        if not fs.exists(mark):
+            self._switch(table, version)
 
     def replace(self, table: str, rows: DataFrame) -> int:
         """The next version; the one before stays until ``vacuum``."""
@@ -149,6 +139,17 @@ class Store:
     def delete(self, table: str, where: Column) -> int:
         return self.replace(table, self.read(table).where(~F.coalesce(where, F.lit(False))))
 
+    def append_turn(self, turn: DataFrame) -> None:
+        """One turn of a thread: it is stored, the thread is brought up to date and named after its first question."""
+        self.attach("chat_turns", turn)
+        said = turn.select("conversation_id", F.col("asked_at").alias("_at"), title_from_question(F.col("question")).alias("_title"))
+        threads = self.read("conversations").join(said, "conversation_id")
+        self.upsert(
+            "conversations",
+            threads.withColumns({"updated_at": F.greatest("updated_at", "_at"), "title": F.coalesce(F.nullif("title", F.lit("")), "_title")}),
+            newest="updated_at",
+        )
+
     def delete_conversation(self, conversation_id: str) -> None:
         """A thread goes with its turns."""
         for table in ("chat_turns", "conversations"):
@@ -172,3 +173,5 @@ class Store:
             name = s.getPath().getName()
             if name.startswith("v") and name != f"v{now}":
                 fs.delete(s.getPath(), True)
+        for v in range(now):
+            fs.delete(self._fs(f"{self.root}/{table}/_versions/{v}")[1], False)
