@@ -47,30 +47,28 @@ def _keys(rows: DataFrame, fields: tuple[str, ...], *columns) -> DataFrame:
 
 def _totals(observations: DataFrame, fields, sample_one_in: int, heavy_share: float, salts: int) -> DataFrame:
     """As ``key_totals``, with a row for the null key too."""
-    rows = once(observations, *fields, "confidence", "ts")
+    # the salt comes from the id, which the shuffle by id carries anyway: both branches below then read the same shuffle
+    rows = once(observations, *fields, "confidence", "ts", keep="_salt").withColumn("_salt", F.pmod(F.xxhash64("_salt"), F.lit(salts)))
     long = _keys(
         rows,
         fields,
+        "_salt",
         F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"),
         F.when(~F.isnan("ts"), F.col("ts")).alias("ts"),
     )
     sample = observations.where(F.pmod(F.xxhash64("observation_id"), F.lit(sample_one_in)) == 0)
-    least = sample.agg(F.greatest(F.count(F.lit(1)) * heavy_share, F.lit(2.0)).alias("least")).scalar()
+    seen = _keys(sample, fields).groupBy("key_field", "key_value").agg(F.count(F.lit(1)).alias("seen"))
+    size = seen.where(F.col("key_field") == fields[0]).agg(F.sum("seen").alias("size")).scalar()
     heavy = F.broadcast(
-        _keys(sample, fields)
-        .where(F.col("key_value").isNotNull())
-        .groupBy("key_field", "key_value")
-        .agg(F.count(F.lit(1)).alias("seen"))
-        .where(F.col("seen") >= least)
+        seen.where(F.col("key_value").isNotNull() & (F.col("seen") >= F.greatest(size * heavy_share, F.lit(2.0))))
         .select("key_field", "key_value")
     )
     sums = (F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("confidence_sum"))
     ends = (F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     light = long.join(heavy, ["key_field", "key_value"], "left_anti").groupBy("key_field", "key_value").agg(*sums, *ends)
-    salt = F.pmod(F.xxhash64("ts", "confidence"), F.lit(salts)).alias("salt")
     hot = (
         long.join(heavy, ["key_field", "key_value"])
-        .groupBy("key_field", "key_value", salt)
+        .groupBy("key_field", "key_value", "_salt")
         .agg(*sums, *ends)
         .groupBy("key_field", "key_value")
         .agg(
