@@ -28,17 +28,17 @@ from pyspark.sql import functions as F
 from memlake.llm.hnsw import Graph
 
 #: Rows aimed at in a shard (with ``COPIES`` shards a vector), and the bounds of the sample that gives the pivots: with the
-#: most, shards keep their size up to 1.7 billion vectors a kind and grow in proportion beyond.
-SHARD_ROWS, COPIES, PIVOTS_AT_LEAST, PIVOTS_AT_MOST = 20_000, 3, 16, 1 << 18
+#: most, shards keep their size up to 220 million vectors a kind and grow in proportion beyond (23,000 rows at a billion).
+SHARD_ROWS, COPIES, PIVOTS_AT_LEAST, PIVOTS_AT_MOST = 5000, 3, 16, 1 << 17
 #: A kind with fewer vectors is one shard.
 ONE_SHARD = 3000
 #: A vector also joins shards whose pivot is nearly as similar as its best: within MARGIN / sqrt(dimension).
-MARGIN, SHARDS_AT_MOST = 0.6, 4
+MARGIN, SHARDS_AT_MOST = 0.8, 4
 #: More pivots than this are searched from above: each node of the tree has about FANOUT below it, WAYS are followed.
-FLAT, FANOUT, WAYS = 1024, 64, 32
-LINKS, BEAM = 8, 20
+FLAT, FANOUT, WAYS = 1024, 64, 40
+LINKS, BEAM = 8, 16
 #: Beams with which the finished graph is asked: the next is for nodes whose wanted ones fill half of the one before.
-ASK = (32, 64, 256)
+ASK = (20, 64, 256)
 #: Vectors travel as 16-bit fixed point; this shifts a similarity by about 0.00001.
 GRAIN = 32767
 #: Exact search: a task holds at most so many vectors and so many asking ones, and multiplies them in tiles;
