@@ -15,6 +15,8 @@ MATCH_AT, NOVELTY_MIN, SIGNATURES_AT_MOST = 0.45, 0.10, 12
 BLOCK, PROBES = 50_000, 20_000
 #: Signatures of a block when all pairs are looked at.
 PAIRED = 8000
+#: Entities of a separation matrix at most.
+SEPARATED = 2000
 
 
 def clean(signatures: DataFrame) -> DataFrame:
@@ -194,8 +196,13 @@ def mean_signatures(signatures: DataFrame) -> DataFrame:
 
 
 def separation(signatures: DataFrame) -> DataFrame:
-    """(a, b, similarity) between the mean vectors of a few entities, each pair once."""
-    means = mean_signatures(signatures)
+    """(a, b, similarity) between the mean vectors of a few entities, each pair once.
+
+    A matrix to look at while tuning: more than ``SEPARATED`` entities are refused.
+    """
+    means = materialize(mean_signatures(signatures), "means")
+    if means.limit(SEPARATED + 1).count() > SEPARATED:
+        raise ValueError(f"a separation matrix is for {SEPARATED} entities at most")
     left, right = means.select(F.col("entity_id").alias("a"), F.col("vec").alias("va")), means.select(F.col("entity_id").alias("b"), F.col("vec").alias("vb"))
     return left.join(right, F.col("a") < F.col("b")).select("a", "b", dot(F.col("va"), F.col("vb")).alias("similarity"))
 

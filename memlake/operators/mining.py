@@ -163,35 +163,30 @@ def evidence_rows(observations: DataFrame, edges: DataFrame, *carried: str) -> D
 def changes(snapshots: DataFrame, tail: int = GONE_TAIL) -> DataFrame:
     """(location_id, entity_id, kind, ts, evidence): who appeared in a zone after its first snapshot, and who is gone.
 
-    Zones with a single snapshot show no change.  Snapshots are numbered by zone once;
-    everything else is an aggregation by (zone, entity).
+    Zones with a single snapshot show no change.  No task orders all snapshots of a
+    zone: the last ones are found by day first, all else is an aggregation.
     """
-    w = Window.partitionBy("location_id").orderBy("ts", "seq", "snapshot_id")
-    back = Window.partitionBy("location_id").orderBy(F.desc("ts"), F.desc("seq"), F.desc("snapshot_id"))
-    placed = snapshots.withColumn("i", F.row_number().over(w)).withColumn("j", F.row_number().over(back))
-    ends = placed.groupBy("location_id").agg(
-        F.max("i").alias("count"),
-        F.max_by("ts", "i").alias("end_ts"),
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("j") <= tail, F.struct("i", "snapshot_id")))), lambda x: x["snapshot_id"]
-        ).alias("tail_ids"),
-    ).where(F.col("count") >= 2)
-    members = placed.select("location_id", "snapshot_id", "ts", "i", "j", F.explode("present_entity_ids").alias("entity_id"))
+    at = F.struct("ts", "seq", "snapshot_id")
+    placed = snapshots.select("location_id", at.alias("at"), "present_entity_ids", F.floor(F.col("ts") / 86400).alias("day"))
+    back = F.desc("at")
+    last = placed.select("location_id", "day", "at").withColumn("k", F.row_number().over(Window.partitionBy("location_id", "day").orderBy(back)))
+    last = last.where(F.col("k") <= tail).withColumn("k", F.row_number().over(Window.partitionBy("location_id").orderBy(back))).where(F.col("k") <= tail)
+    tails = last.groupBy("location_id").agg(
+        F.min("at").alias("tail"), F.transform(F.array_sort(F.collect_list("at")), lambda x: x["snapshot_id"]).alias("tail_ids")
+    )
+    ends = placed.groupBy("location_id").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count(F.lit(1)).alias("count"))
+    ends = ends.where(F.col("count") >= 2).join(tails, "location_id")
     spans = (
-        members.groupBy("location_id", "entity_id")
-        .agg(
-            F.min("i").alias("first"),
-            F.min_by("ts", "i").alias("first_ts"),
-            F.min_by("snapshot_id", "i").alias("first_id"),
-            F.min("j").alias("last"),
-        )
+        placed.select("location_id", "at", F.explode("present_entity_ids").alias("entity_id"))
+        .groupBy("location_id", "entity_id")
+        .agg(F.min("at").alias("first"), F.max("at").alias("last"))
         .join(F.broadcast(ends), "location_id")  # one row a zone
     )
-    new = spans.where(F.col("first") > 1).select(
-        "location_id", "entity_id", F.lit("new").alias("kind"), F.col("first_ts").alias("ts"), F.array("first_id").alias("evidence")
+    new = spans.where(F.col("first") > F.col("start")).select(
+        "location_id", "entity_id", F.lit("new").alias("kind"), F.col("first.ts").alias("ts"), F.array("first.snapshot_id").alias("evidence")
     )
-    gone = spans.where(F.col("last") > tail).select(
-        "location_id", "entity_id", F.lit("gone").alias("kind"), F.col("end_ts").alias("ts"), F.col("tail_ids").alias("evidence")
+    gone = spans.where(F.col("last") < F.col("tail")).select(
+        "location_id", "entity_id", F.lit("gone").alias("kind"), F.col("end.ts").alias("ts"), F.col("tail_ids").alias("evidence")
     )
     return new.unionByName(gone)
 

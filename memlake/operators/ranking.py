@@ -45,21 +45,40 @@ def rerank(fused: DataFrame, similarity: DataFrame, key: str = "observation_id",
 def collapse_hits(hits: DataFrame, window: float = 120.0) -> DataFrame:
     """Runs of one subject's equal predicates, each at most ``window`` seconds after the one before, as one hit.
 
-    The hit keeps the best score of its run, with the id that has it.
+    The hit keeps the best score of its run, with the id that has it.  Runs are made
+    within days, so that no task sorts all rows of a hot subject; only the first and the
+    last run of each day can go on in another day and are joined across days.
     """
-    w = Window.partitionBy("entity_id", "predicate").orderBy("ts", "observation_id")
+    key = ["entity_id", "predicate"]
+    best = F.struct("score", -F.col("ts"), "observation_id", "text")
+    days = hits.withColumn("_day", F.floor(F.col("ts") / 86400))
+    w = Window.partitionBy(*key, "_day").orderBy("ts", "observation_id")
     new = F.when(F.col("ts") - F.lag("ts").over(w) <= window, 0).otherwise(1)
-    runs = hits.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    best = F.struct("score", -F.col("ts"))
-    return runs.groupBy("entity_id", "predicate", "_run").agg(
-        F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen"),
-        F.count(F.lit(1)).alias("n"),
-        F.max("score").alias("score"),
-        F.max_by("observation_id", best).alias("observation_id"),
-        F.max_by("text", best).alias("text"),
-        F.when(F.min("reason") == F.max("reason"), F.min("reason")).when(F.min("reason").isNotNull(), "both").alias("match_reason"),
-    ).drop("_run")
+    runs = (
+        days.withColumn("_new", new)
+        .withColumn("_run", F.sum("_new").over(w))
+        .groupBy(*key, "_day", "_run")
+        .agg(
+            F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n"), F.max(best).alias("_best"),
+            F.min("reason").alias("_least"), F.max("reason").alias("_most"),
+        )
+        .withColumn("_runs", F.max("_run").over(Window.partitionBy(*key, "_day")))
+    )
+    edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_runs"))
+    over = Window.partitionBy(*key).orderBy("_day", "_run")
+    apart = F.when(F.col("first_seen") - F.lag("last_seen").over(over) <= window, 0).otherwise(1)
+    joined = (
+        runs.where(edge).withColumn("_new", apart).withColumn("_island", F.sum("_new").over(over)).groupBy(*key, "_island")
+        .agg(
+            F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"), F.max("_best").alias("_best"),
+            F.min("_least").alias("_least"), F.max("_most").alias("_most"),
+        )
+    )
+    out = [*key, "first_seen", "last_seen", "n", "_best", "_least", "_most"]
+    return runs.where(~edge).select(*out).unionByName(joined.select(*out)).select(
+        *key, "first_seen", "last_seen", "n", "_best.score", "_best.observation_id", "_best.text",
+        F.when(F.col("_least") == F.col("_most"), F.col("_least")).when(F.col("_least").isNotNull(), "both").alias("match_reason"),
+    )
 
 
 def pick_spread(frames: DataFrame, key: str, value: str, k: int) -> DataFrame:

@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,13 +20,16 @@ from memlake.streaming import steps
 
 NEAR_IOU, NEAR_DISTANCE, MOTION_MIN, HEARTBEAT = 0.02, 1.5, 0.002, 10
 LATENESS = "30 seconds"
+#: A key's state is dropped when nothing of it came for so long; longer than any cooldown or dwell time.
+STATE_IDLE_SECONDS = 7 * 86400
 
 
 def keyed(df: DataFrame, keys: list[str], columns: str, step: Callable[[dict, dict], dict | None], order: str = "ts") -> DataFrame:
     """Fold ``step`` over each key's rows; rows for which it gives a dict are emitted.
 
-    On a stream the state lives in the state store.  On a table it starts empty, and one
-    pass over rows sorted by key and time holds one key's state at a time.
+    On a stream the state lives in the state store, until the key was idle for
+    ``STATE_IDLE_SECONDS``.  On a table it starts empty, and one pass over rows sorted by
+    key and time holds one key's state at a time.
     """
     names = [c.split()[0] for c in columns.split(", ")]
 
@@ -50,13 +53,17 @@ def keyed(df: DataFrame, keys: list[str], columns: str, step: Callable[[dict, di
         return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(replay, columns)
 
     def live(key, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
         state = json.loads(group.get[0]) if group.exists else {}
         pdf = pd.concat(list(batches))
         out = rows(state, pdf)
         group.update((json.dumps(state),))
+        group.setTimeoutDuration(STATE_IDLE_SECONDS * 1000)
         yield out
 
-    return df.groupBy(*keys).applyInPandasWithState(live, columns, "state string", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(*keys).applyInPandasWithState(live, columns, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def gate(frames: DataFrame) -> DataFrame:
@@ -66,7 +73,18 @@ def gate(frames: DataFrame) -> DataFrame:
 
 
 def settled_frames(frames: DataFrame) -> DataFrame:
-    """(camera_id, frame_index, ts): the frames at which a camera's picture comes to rest."""
+    """(camera_id, frame_index, ts): the frames at which a camera's picture comes to rest.
+
+    On a table: the frame that makes the stillness long enough, counted from the last
+    motion.
+    """
+    if not frames.isStreaming:
+        w = Window.partitionBy("camera_id").orderBy("ts", "frame_index")
+        moving = F.coalesce(F.col("motion_fraction") >= MOTION_MIN, F.lit(False))
+        placed = frames.withColumn("_still", ~moving).withColumn("_island", F.count_if(~F.col("_still")).over(w))
+        k = F.count_if("_still").over(Window.partitionBy("camera_id", "_island").orderBy("ts", "frame_index"))
+        placed = placed.where("_island > 0").withColumn("_k", k).where(F.col("_still") & (F.col("_k") == steps.SETTLE_FRAMES))
+        return placed.select("camera_id", F.col("frame_index").cast("bigint").alias("frame_index"), F.col("ts").cast("double").alias("ts"))
 
     def step(state: dict, r: dict) -> dict | None:
         if steps.settle(state, bool(r["motion_fraction"] >= MOTION_MIN)):
