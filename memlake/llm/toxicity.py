@@ -33,7 +33,7 @@ SAMPLE_SEGMENTS, LABELLED_AT_MOST = 20_000, 10_000
 #: What all segments without label together weigh, a segment of a labelled document weighing 1.
 UNLABELLED_WEIGHT = 150.0
 #: What all vote patterns without their words together weigh.
-WORDLESS_WEIGHT = 150.0
+WORDLESS_WEIGHT = 500.0
 #: Words and pairs that stand in fewer documents of the sample are not learnt.
 MIN_DOCUMENTS = 3
 #: Labels of one document in so many (by hash of its id) are never learnt from, so that accuracy can be measured.

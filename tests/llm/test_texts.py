@@ -1,5 +1,6 @@
 """Encoding, leaks and abuse on small and hostile texts."""
 
+import base64
 import random
 
 import numpy as np
@@ -133,6 +134,28 @@ def test_scrub(docs, items):
     assert got[1].action == "dropped" and got[1].text is None and set(got) == {0, 1}
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_tokens_are_stable_beyond_the_lookahead(seed):
+    """Random merge lists: what ends a lookahead before the end of a text stays, however the text goes on."""
+    rng = random.Random(seed)
+    letters = [b"a", b"b", b"c"][: rng.choice((2, 3))]
+    ranks, tokens = {bytes([i]): i for i in range(256)}, list(letters)
+    for _ in range(rng.randrange(3, 25)):
+        token = rng.choice(tokens) + rng.choice(tokens)
+        if token not in ranks and len(token) < 9:
+            ranks[token] = len(ranks)
+            tokens.append(token)
+    t = bpe.Transducer(b"\n".join(base64.b64encode(k) + b" %d" % v for k, v in ranks.items()), r".+")
+    for _ in range(20):
+        text = b"".join(rng.choices(letters, k=70))
+        cut, end, stable = rng.randrange(5, 65), 0, []
+        for part in t.merged(text[:cut]):
+            end += len(part)
+            if end <= cut - t.lookahead:
+                stable.append(part)
+        assert t.merged(text)[: len(stable)] == stable
+
+
 #: Written for this test alone: no list or pattern was changed after looking at what is found of them (one weight was
 #: compared at five settings by how many are found).
 UNSEEN_ABUSE = [
