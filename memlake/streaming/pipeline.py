@@ -20,15 +20,17 @@ from memlake.streaming import steps
 
 NEAR_IOU, NEAR_DISTANCE, MOTION_MIN, HEARTBEAT = 0.02, 1.5, 0.002, 10
 LATENESS = "30 seconds"
-#: A key's state is dropped when nothing of it came for so long; longer than any cooldown or dwell time.
+#: A key's state is dropped when event time is so far past its last row; longer than any cooldown or dwell time.
 STATE_IDLE_SECONDS = 7 * 86400
+#: Rows of a keyed stream that are later than this are left out.
+STATE_LATENESS = "1 day"
 
 
 def keyed(df: DataFrame, keys: list[str], columns: str, step: Callable[[dict, dict], dict | None], order: str = "ts") -> DataFrame:
     """Fold ``step`` over each key's rows; rows for which it gives a dict are emitted.
 
-    On a stream the state lives in the state store, until the key was idle for
-    ``STATE_IDLE_SECONDS``.  On a table it starts empty, and one pass over rows sorted by
+    On a stream the state lives in the state store, until event time is
+    ``STATE_IDLE_SECONDS`` past the key's last row.  On a table it starts empty, and one pass over rows sorted by
     key and time holds one key's state at a time.
     """
     names = [c.split()[0] for c in columns.split(", ")]
@@ -60,10 +62,12 @@ def keyed(df: DataFrame, keys: list[str], columns: str, step: Callable[[dict, di
         pdf = pd.concat(list(batches))
         out = rows(state, pdf)
         group.update((json.dumps(state),))
-        group.setTimeoutDuration(STATE_IDLE_SECONDS * 1000)
+        group.setTimeoutTimestamp(int((pdf["ts"].max() + 86400 + STATE_IDLE_SECONDS) * 1000))
         yield out
 
-    return df.groupBy(*keys).applyInPandasWithState(live, columns, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    # a day ahead, as a watermark starts at the epoch and drops what isn't after it
+    timed = df.withColumn("_event", F.timestamp_seconds(F.col("ts") + 86400)).withWatermark("_event", STATE_LATENESS)
+    return timed.groupBy(*keys).applyInPandasWithState(live, columns, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gate(frames: DataFrame) -> DataFrame:
