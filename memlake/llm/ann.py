@@ -37,8 +37,9 @@ MARGIN, SHARDS_AT_MOST = 0.8, 4
 #: More pivots than this are searched from above: each node of the tree has about FANOUT below it, WAYS are followed.
 FLAT, FANOUT, WAYS = 1024, 64, 40
 LINKS, BEAM = 8, 16
-#: Beams with which the finished graph is asked: the next is for nodes whose wanted ones fill half of the one before.
-ASK = (20, 64, 256)
+#: Beams with which the finished graph is asked, so many rows at a time: the next is for nodes whose wanted ones fill half of
+#: the one before.
+ASK, ASK_ROWS = (20, 64, 256), 512
 #: Vectors travel as 16-bit fixed point; this shifts a similarity by about 0.00001.
 GRAIN = 32767
 #: Exact search: a task holds at most so many vectors and so many asking ones, and multiplies them in tiles;
@@ -182,18 +183,20 @@ def _route(routing: dict[str, Routing]):
     return run
 
 
-def _ask(graph: Graph, q: np.ndarray, least: float, start: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(query, row, similarity) found in the finished graph from ``start``, with a wide beam where many are wanted."""
-    rows = np.arange(len(q))
+def _ask(graph: Graph, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, row, similarity) found in the finished graph from each row, with a wide beam where many are wanted."""
+    rows = np.arange(len(graph.x))
     for ef in ASK:
-        ids, sims = graph.search(q[rows], ef, start[rows])
-        wanted = (sims >= least) & (ids >= 0)
-        crowded = wanted.sum(1) * 2 >= ef
-        r, c = np.nonzero(wanted & (~crowded[:, None] | (ef == ASK[-1])))
-        yield rows[r], ids[r, c], sims[r, c]
-        rows = rows[crowded]
-        if not len(rows):
-            break
+        again = []
+        for i in range(0, len(rows), ASK_ROWS):
+            start = rows[i : i + ASK_ROWS]
+            ids, sims = graph.search(graph.x[start], ef, start)
+            wanted = (sims >= least) & (ids >= 0)
+            crowded = (wanted.sum(1) * 2 >= ef) & (ef != ASK[-1])
+            r, c = np.nonzero(wanted & ~crowded[:, None])
+            yield graph.order[start[r]], ids[r, c], sims[r, c]
+            again.append(start[crowded])
+        rows = np.concatenate(again) if again else rows
 
 
 def _keep(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,10 +223,7 @@ def _search(least: float, k: int):
         x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         graph = Graph(x, m=LINKS, ef=BEAM)
         found = list(graph.insert_all(least))
-        for i in range(0, len(x), 512):
-            start = np.arange(i, min(i + 512, len(x)))
-            for q, ids, sims in _ask(graph, graph.x[start], least, start):
-                found.append((graph.order[start[q]], ids, sims))
+        found += _ask(graph, least)
         a, b, s = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((int, int, np.float32)))
         a, b, s = _keep(a, b, s, k)
         vid, space = table["vid"].combine_chunks(), table["space"][0].as_py()

@@ -15,6 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 
 
+#: A layer of at most so many rows, above the bottom, is searched whole, by one product.
+FLAT = 1024
+#: Pairs of vectors multiplied at a time, and rows whose candidates are compared at a time, so that buffers stay small.
+PART, ROWS = 1024, 64
+
+
 class Layer:
     """One layer of the graph: ``links[i]`` holds up to ``cap`` neighbours of row i, -1 where none."""
 
@@ -23,45 +29,61 @@ class Layer:
         self.degree = np.zeros(rows, np.int32)
 
 
+def dots(q: np.ndarray, who: np.ndarray, x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``q[who] . x[which]``, a part at a time through two buffers that stay in the processor's cache."""
+    out = np.empty(len(who), np.float32)
+    a, b = (np.empty((min(PART, len(who)), x.shape[1]), np.float32) for _ in range(2))
+    for i in range(0, len(who), PART):
+        n = min(PART, len(who) - i)
+        np.take(q, who[i : i + n], 0, out=a[:n], mode="clip")
+        np.take(x, which[i : i + n], 0, out=b[:n], mode="clip")
+        np.einsum("ij,ij->i", a[:n], b[:n], out=out[i : i + n])
+    return out
+
+
 def walk(x: np.ndarray, layer: Layer, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the ``ef`` best rows (-1 where fewer) and their similarities, unordered."""
     b, n = len(q), len(x)
     ids = np.full((b, ef), -1, np.int32)
     sims = np.full((b, ef), -2.0, np.float32)
     done = np.ones((b, ef), bool)
-    seen = np.zeros((b, n), bool)
+    seen = np.zeros((b, n + 1), bool)  # the first column stands for no row, -1
+    seen[:, 0] = True
     rows = np.arange(b)
     ids[:, 0], sims[:, 0], done[:, 0] = entry, np.einsum("ij,ij->i", q, x[entry]), False
-    seen[rows, entry] = True
+    seen[rows, entry + 1] = True
     out_ids, out_sims = ids.copy(), sims.copy()
-    live, ql = rows, q
+    live = rows
     cap = layer.links.shape[1]
     flat = seen.ravel()
     while len(live):
-        best = np.where(done, -3.0, sims).argmax(1)
+        best = np.where(done, np.float32(-3.0), sims).argmax(1)
         at = np.arange(len(live))
         stop = done[at, best]
         if stop.any():
             out_ids[live[stop]], out_sims[live[stop]] = ids[stop], sims[stop]
             go = np.flatnonzero(~stop)
-            live, ql, ids, sims, done, best = live[go], ql.take(go, 0), ids[go], sims[go], done[go], best[go]
+            live, ids, sims, done, best = live[go], ids.take(go, 0), sims.take(go, 0), done.take(go, 0), best[go]
             if not len(live):
                 break
             at = at[: len(live)]
         done[at, best] = True
         near = layer.links.take(ids[at, best], 0)
-        place = live[:, None] * n + near
-        fresh = (near >= 0) & ~flat.take(np.maximum(place, 0))
-        spot = np.flatnonzero(fresh)
-        found = near.ravel().take(spot)
-        flat[place.ravel().take(spot)] = True
+        place = (live[:, None] * (n + 1) + 1 + near).ravel()
+        spot = np.flatnonzero(~flat.take(place))
+        flat[place.take(spot)] = True
         value = np.full(len(live) * cap, -2.0, np.float32)
-        value[spot] = np.einsum("ij,ij->i", ql.take(spot // cap, 0), x.take(found, 0))
-        all_sims = np.concatenate([sims, value.reshape(-1, cap)], 1)
-        keep = np.argpartition(all_sims, cap, axis=1)[:, cap:] + (at * (ef + cap))[:, None]
-        sims = all_sims.take(keep)
-        ids = np.concatenate([ids, np.where(fresh, near, -1)], 1).take(keep)
-        done = np.concatenate([done, ~fresh], 1).take(keep)
+        value[spot] = dots(q, live.take(spot // cap), x, near.ravel().take(spot))
+        value = value.reshape(-1, cap)
+        # beams into which something new comes
+        up = np.flatnonzero(value.max(1) > sims.min(1))
+        value = value.take(up, 0)
+        fresh = value > -2.0
+        both = np.concatenate([sims.take(up, 0), value], 1)
+        keep = np.argpartition(both, cap, axis=1)[:, cap:] + (at[: len(up)] * (ef + cap))[:, None]
+        sims[up] = both.take(keep)
+        ids[up] = np.concatenate([ids.take(up, 0), np.where(fresh, near.take(up, 0), -1)], 1).take(keep)
+        done[up] = np.concatenate([done.take(up, 0), ~fresh], 1).take(keep)
     return out_ids, out_sims
 
 
@@ -70,8 +92,10 @@ def choose(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.nd
     order = np.argsort(-sims, axis=1, kind="stable")
     ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
     b, c = ids.shape
-    vec = x[np.maximum(ids, 0)]
-    between = vec @ vec.transpose(0, 2, 1)
+    between = np.empty((b, c, c), np.float32)
+    for i in range(0, b, ROWS):
+        vec = x[np.maximum(ids[i : i + ROWS], 0)]
+        np.matmul(vec, vec.transpose(0, 2, 1), out=between[i : i + ROWS])
     nearest = np.full((b, c), -2.0, np.float32)  # similarity of each candidate to the chosen ones
     taken = np.zeros((b, c), bool)
     count = np.zeros(b, np.int32)
@@ -79,7 +103,8 @@ def choose(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.nd
         take = (ids[:, j] >= 0) & (count < most) & (sims[:, j] > nearest[:, j])
         taken[:, j] = take
         count += take
-        np.maximum(nearest, np.where(take[:, None], between[:, j], -2.0), out=nearest)
+        at = np.flatnonzero(take)
+        nearest[at, j + 1 :] = np.maximum(nearest[at, j + 1 :], between[at, j, j + 1 :])
     # fill up with the nearest of those passed over
     spare = (~taken) & (ids >= 0)
     room = most - count
@@ -104,16 +129,22 @@ class Graph:
         self.level = level[self.order]
         self.x = self.x[self.order]
         self.layers = [Layer(int((self.level >= k).sum()), 2 * m) for k in range((int(self.level.max()) if n else 0) + 1)]
+        # from this layer on one product finds the best row, so no links are made
+        self.flat = next((k for k in range(1, len(self.layers)) if len(self.layers[k].links) <= FLAT), len(self.layers))
 
     def _descend(self, q: np.ndarray, to: int) -> np.ndarray:
-        """The entry into layer ``to`` for each query: greedy steps through the layers above."""
-        entry = np.zeros(len(q), np.int32)
-        for k in range(len(self.layers) - 1, to, -1):
-            rows = len(self.layers[k].links)
-            ids, sims = walk(self.x[:rows], self.layers[k], q, entry, 4)
+        """The entry into layer ``to`` for each query: the best row of the first flat layer, then greedy steps through those below it."""
+        top = self.flat
+        entry = self._first(q, len(self.layers[top].links) if top < len(self.layers) else 1)
+        for k in range(top - 1, to, -1):
+            ids, sims = walk(self.x[: len(self.layers[k].links)], self.layers[k], q, entry, 4)
             entry = ids[np.arange(len(q)), sims.argmax(1)]
         return entry
 
+    def _first(self, q: np.ndarray, rows: int) -> np.ndarray:
+        """For each query the most similar of the first ``rows`` rows."""
+        return (q @ self.x[:rows].T).argmax(1).astype(np.int32)
+
     def search(self, q: np.ndarray, ef: int | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows (in the order given to the graph) and similarities found for each query; ``start`` are rows in the graph's order."""
         if not len(self.x):
@@ -123,7 +154,7 @@ class Graph:
 
     def insert_all(self, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Build all layers; yields (row, row, similarity) of the pairs of at least ``least`` seen at the bottom."""
-        for k in range(len(self.layers) - 1, -1, -1):
+        for k in range(self.flat - 1, -1, -1):
             rows = len(self.layers[k].links)
             start = 0
             while start < rows:
@@ -138,18 +169,19 @@ class Graph:
         q = x[start:end]
         within = q @ q.T
         np.fill_diagonal(within, -2.0)
-        r, c = np.nonzero(np.triu(within >= least, 1))
+        r, c = np.divmod(np.flatnonzero(within >= least), end - start)
+        r, c = r[r < c], c[r < c]
         pairs = [(r + start, c + start, within[r, c])]
         mates = min(12, end - start - 1)
         ids = np.full((end - start, 0), -1, np.int32)
         sims = np.zeros((end - start, 0), np.float32)
         if mates > 0:
-            top = np.argpartition(-within, mates - 1, axis=1)[:, :mates]
+            top = np.argpartition(within, -mates, axis=1)[:, -mates:]
             ids, sims = (top + start).astype(np.int32), np.take_along_axis(within, top, 1)
         if start:
-            # the rows of the layer above come first here too; until they are all in, walks start at the first row
+            # the rows of the layer above come first here too; until they are all in, walks start at the best of the first rows
             above = len(self.layers[k + 1].links) if k + 1 < len(self.layers) else start + 1
-            entry = self._descend(q, k) if start >= above else np.zeros(len(q), np.int32)
+            entry = self._descend(q, k) if start >= above else self._first(q, min(start, FLAT))
             seen_ids, seen_sims = walk(x[:start], layer, q, entry, self.ef)
             r, c = np.nonzero(seen_sims >= least)
             pairs.append((seen_ids[r, c], r + start, seen_sims[r, c]))

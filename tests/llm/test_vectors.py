@@ -1,10 +1,11 @@
 """Nearest vectors: recall against brute force, copies, ties and dirt."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.llm import ann
+from memlake.llm import ann, hnsw
 from memlake.llm.ann import nearest, nearest_of, similar_pairs
 from memlake.llm.hnsw import Graph
 
@@ -149,3 +150,38 @@ def test_recall_in_large_groups_of_one_shard(spark, size, n):
     got = {(int(a[4:]), int(b[4:])) for a, b in (tuple(r) for r in similar_pairs(df).collect())}
     want = brute(x, 10, 0.8)
     assert len(got & want) / len(want) >= 0.97 and len(got - want) <= 0.03 * len(want)
+
+
+def shard_of(x):
+    u = np.rint(x / np.linalg.norm(x, axis=1, keepdims=True) * ann.GRAIN).astype(np.int16)
+    vid = pa.array([i.to_bytes(4, "big") for i in range(len(x))], pa.binary())
+    return pa.table({"space": ["face"] * len(x), "shard": [0] * len(x), "vid": vid, "unit": pa.array([v.tobytes() for v in u], pa.binary())})
+
+
+def found_in(x):
+    out = ann._search(0.8, 10)(shard_of(x))
+    a, b = ([int.from_bytes(v, "big") for v in out[c].to_pylist()] for c in ("a", "b"))
+    return {(min(p), max(p)) for p in zip(a, b)}
+
+
+def test_a_shard_is_walked_once_in_and_once_asked(monkeypatch):
+    calls, walk = [], hnsw.walk
+    monkeypatch.setattr(hnsw, "walk", lambda x, layer, q, entry, ef: calls.append((ef, len(q))) or walk(x, layer, q, entry, ef))
+    x = clustered(3000, 48, 7, size=12)  # every twelfth of them has more than half a beam of others
+    got, want = found_in(x), brute(x, 10, 0.8)
+    assert len(got & want) / len(want) >= 0.99
+    assert {ef for ef, _ in calls} == {ann.BEAM, *ann.ASK[:2]}  # none through small layers
+    again = [n for ef, n in calls if ef == ann.ASK[1]]
+    assert sum(again) > 0 and len(again) == -(-sum(again) // ann.ASK_ROWS)  # the crowded ones of all parts together
+    assert sum(n for ef, n in calls if ef == ann.ASK[0]) == len(x)
+
+
+def test_layers_that_are_too_large_to_be_searched_whole(monkeypatch):
+    x = clustered(3000, 48, 8)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(hnsw, "FLAT", 16)
+    g = Graph(u)
+    assert g.flat > 2 and len(g.layers[g.flat].links) <= 16 and sum(1 for _ in g.insert_all(0.8)) > 0
+    ids, _ = g.search(u)
+    assert (ids == np.arange(len(u))[:, None]).any(1).mean() > 0.97
+    assert len(found_in(x) & brute(x, 10, 0.8)) / len(brute(x, 10, 0.8)) >= 0.99
